@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .quality import OP9_SQL, op9_line_frequency_rules
+from .sharding import op2_bounded_ring_shards
 from .simhash import op7_simhash_near_dedup
 
 
 def queries() -> dict:
-    return {"op7_simhash_near_dedup": op7_simhash_near_dedup}
+    return {
+        "op2_bounded_ring_shards": op2_bounded_ring_shards,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_line_frequency_rules": op9_line_frequency_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_frequency_rules": OP9_SQL}
