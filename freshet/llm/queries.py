@@ -5,15 +5,17 @@ from __future__ import annotations
 from .quality import OP9_SQL, op9_line_frequency_rules
 from .sharding import op2_bounded_ring_shards
 from .simhash import op7_simhash_near_dedup
+from .warc import OP6_SQL, op6_arc_to_warc
 
 
 def queries() -> dict:
     return {
         "op2_bounded_ring_shards": op2_bounded_ring_shards,
+        "op6_arc_to_warc": op6_arc_to_warc,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_line_frequency_rules": op9_line_frequency_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_frequency_rules": OP9_SQL}
+    return {"op6_arc_to_warc": OP6_SQL, "op9_line_frequency_rules": OP9_SQL}
