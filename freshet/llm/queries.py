@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP8_SQL, op8_minhash_containment
+from .language import language_id_pages, op3_language_id
 from .quality import OP9_SQL, op9_line_frequency_rules
 from .sharding import op2_bounded_ring_shards
 from .simhash import op7_simhash_near_dedup
@@ -11,11 +13,14 @@ from .warc import OP6_SQL, op6_arc_to_warc
 def queries() -> dict:
     return {
         "op2_bounded_ring_shards": op2_bounded_ring_shards,
+        "op3_language_id": op3_language_id,
+        "op3_language_id_pages": language_id_pages,
         "op6_arc_to_warc": op6_arc_to_warc,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_minhash_containment": op8_minhash_containment,
         "op9_line_frequency_rules": op9_line_frequency_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_arc_to_warc": OP6_SQL, "op9_line_frequency_rules": OP9_SQL}
+    return {"op6_arc_to_warc": OP6_SQL, "op8_minhash_containment": OP8_SQL, "op9_line_frequency_rules": OP9_SQL}
