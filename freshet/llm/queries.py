@@ -7,11 +7,13 @@ from .language import language_id_pages, op3_language_id
 from .quality import OP9_SQL, op9_line_frequency_rules
 from .sharding import op2_bounded_ring_shards
 from .simhash import op7_simhash_near_dedup
+from .toxicity import op1_crf_toxicity
 from .warc import OP6_SQL, op6_arc_to_warc
 
 
 def queries() -> dict:
     return {
+        "op1_crf_toxicity": op1_crf_toxicity,
         "op2_bounded_ring_shards": op2_bounded_ring_shards,
         "op3_language_id": op3_language_id,
         "op3_language_id_pages": language_id_pages,
