@@ -16,9 +16,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,23 +116,18 @@ def warc_record(fields: dict[str, str], body: bytes, salt: str = "", refers_to:
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(named fields in lower case, block) of each record of a gzip-member or plain archive."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            plain, data = member.decompress(data) + member.flush(), member.unused_data
-        else:
-            plain, data = data, b""
-        at = 0
-        while at < len(plain):
-            end = plain.index(b"\r\n\r\n", at)
-            version, *lines = plain[at:end].decode("utf-8").split("\r\n")
-            if not version.startswith("WARC/"):
+    plain = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    with io.BufferedReader(plain, 1 << 17) as stream:
+        while version := stream.readline():
+            if not version.startswith(b"WARC/"):
                 raise ValueError(f"not a WARC version line: {version[:100]!r}")
-            fields = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
-            start = end + 4
-            length = int(fields["content-length"])
-            yield fields, plain[start : start + length]
-            at = start + length + 4
+            fields = {}
+            while line := stream.readline().rstrip(b"\r\n"):
+                name, _, value = line.decode("utf-8").partition(":")
+                fields[name.lower()] = value.strip()
+            block = stream.read(int(fields["content-length"]))
+            stream.read(4)
+            yield fields, block
 
 
 def _members(batches, version):
