@@ -6,6 +6,7 @@ from .decontaminate import OP8_SQL, op8_minhash_containment
 from .language import language_id_pages, op3_language_id
 from .licenses import OP10_SQL, op10_license_sentences
 from .quality import OP9_SQL, op9_line_frequency_rules
+from .sentencepiece import op5_sentencepiece_paths
 from .sharding import op2_bounded_ring_shards
 from .simhash import op7_simhash_near_dedup
 from .toxicity import op1_crf_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op3_language_id_pages": language_id_pages,
         "op4_winnowed_lines": op4_winnowed_lines,
+        "op5_sentencepiece_paths": op5_sentencepiece_paths,
         "op6_arc_to_warc": op6_arc_to_warc,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_minhash_containment": op8_minhash_containment,
