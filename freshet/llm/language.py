@@ -47,10 +47,14 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["lang", "counts"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by bucket and language) from ``rows`` labelled rows, whole texts, chosen by hash."""
-    some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    some = some.orderBy(F.xxhash64("text", "lang"), "lang").limit(rows)
+def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities by bucket and language) from about ``rows`` labelled rows, whole texts.
+
+    The rows are those with the smallest hashes of their key, ``2 * rows`` at the very most.
+    """
+    some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col).alias("h"))
+    share = rows / max(rows, labelled.count())
+    some = some.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).drop("h").limit(2 * rows)
     total: dict[str, np.ndarray] = {}
     for r in some.mapInArrow(_counts, "lang string, counts binary").collect():  # a fixed size for each language
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], dtype=np.int64)
@@ -122,21 +126,25 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_confidenc
     def declared_col(k):
         return functools.reduce(lambda c, v: c.when(F.col("declared") == v, said(v, k)), [*langs, "?"], F.when(F.col("declared") == "", 0.0)).otherwise(0.0)
 
-    hosts = checkpointed(scored.groupBy("suffix", "host").agg(*sums))
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"s{k}").alias(f"u{k}") for k in some])
-    levels = checkpointed(hosts.join(suffixes, "suffix"))
+    hosts = checkpointed(scored.groupBy("suffix", "host").agg(*sums).select("suffix", "host", F.array(*[f"s{k}" for k in some]).alias("by_host"), *[f"s{k}" for k in some]))
+    suffixes = hosts.groupBy("suffix").agg(*sums_of_sums(some)).select("suffix", F.array(*[f"u{k}" for k in some]).alias("by_suffix"))
+    levels = checkpointed(hosts.select("suffix", "host", "by_host").join(suffixes, "suffix"))
     few = levels.limit(HOST_ROWS + 1).count() <= HOST_ROWS
     joined = scored.join(F.broadcast(levels) if few else levels, ["suffix", "host"])
-    own = lambda name: [F.greatest(F.col(f"{name}{k}") - F.col(f"p{k}"), F.lit(0.0)) for k in some]
-    add = lambda cols: functools.reduce(lambda a, b: a + b, cols)
-    by_suffix, by_host = own("u"), own("s")
-    prior = [(by_suffix[k] + SUFFIX_WEIGHT * base[k]) / (add(by_suffix) + SUFFIX_WEIGHT) for k in some]
-    prior = [(by_host[k] + HOST_WEIGHT * prior[k]) / (add(by_host) + HOST_WEIGHT) for k in some]
-    fused = joined.select("id", "n", *[(F.col(f"t{k}") + declared_col(k) + F.log(prior[k])).alias(f"f{k}") for k in some])
-    after = fused.select("id", "n", *[p.alias(f"q{k}") for k, p in enumerate(_normal([F.col(f"f{k}") for k in some]))])
-    best = F.greatest(*[F.struct(F.col(f"q{k}").alias("q"), F.lit(langs[k]).alias("l")) for k in some]) if span > 1 else F.struct(F.col("q0").alias("q"), F.lit(langs[0]).alias("l"))
-    sure = (F.col("n") > 0) & (F.col("b.q") >= min_confidence)
-    return after.select("id", "n", best.alias("b")).select("id", F.when(sure, F.col("b.l")).otherwise("und").alias("language"), F.col("b.q").alias("confidence"), sure.alias("kept"))
+    joined = joined.select("id", "n", "by_host", "by_suffix", F.array(*[f"p{k}" for k in some]).alias("p"), F.array(*[F.col(f"t{k}") + declared_col(k) for k in some]).alias("logs"))
+    others = lambda c: F.zip_with(c, "p", lambda a, b: F.greatest(a - b, F.lit(0.0)))  # noqa: E731  without the row itself
+    joined = joined.select("id", "n", "logs", others("by_host").alias("by_host"), others("by_suffix").alias("by_suffix"))
+    total_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    smooth = lambda c, above, weight: F.zip_with(c, above, lambda x, up: (x + weight * up) / (total_of(c) + weight))
+    fused = joined.withColumn("prior", smooth("by_suffix", F.array(*map(F.lit, base)), SUFFIX_WEIGHT)).withColumn("prior", smooth("by_host", "prior", HOST_WEIGHT))
+    fused = fused.select("id", "n", F.zip_with("logs", "prior", lambda x, p: x + F.log(p)).alias("logs")).withColumn("top", F.array_max("logs"))
+    after = fused.select("id", "n", F.element_at(F.array(*map(F.lit, langs)), F.array_position("logs", F.col("top")).cast("int")).alias("l"), (1 / total_of(F.transform("logs", lambda x: F.exp(x - F.col("top"))))).alias("confidence"))
+    sure = (F.col("n") > 0) & (F.col("confidence") >= min_confidence)
+    return after.select("id", F.when(sure, F.col("l")).otherwise("und").alias("language"), "confidence", sure.alias("kept"))
+
+
+def sums_of_sums(some) -> list:
+    return [F.sum(f"s{k}").alias(f"u{k}") for k in some]
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -163,6 +171,6 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 
 def language_id_pages(spark, sf_dir: str) -> DataFrame:
     """All evidences together, on web pages; the text model is that of the labelled documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return identify(evidence(pages), fit(docs)).withColumnRenamed("id", "page_id")
