@@ -7,6 +7,7 @@ Both keep state by key in the state store, over Arrow batches, and drop it by ev
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,15 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..types import to_millis
 
 
+def _plain(value, whole: bool):
+    """A pandas value as Python's; whole numbers beside nulls have become floats."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value and whole):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return int(value) if whole else value.item() if hasattr(value, "item") else value
+
+
 class _EagerJoin(StatefulProcessor):
     def __init__(self, within: int, outer: str, schema: T.StructType, left: list[str], right: list[str]):
         self.within, self.outer, self.schema, self.left, self.right = within, outer, schema, left, right
@@ -28,25 +38,25 @@ class _EagerJoin(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.rows.get()]
-        columns = self.schema.names
+        columns, whole = self.schema.names, [isinstance(f.dataType, T.LongType) for f in self.schema]
         out = []
         for batch in rows:
             for row in batch[columns].itertuples(index=False, name=None):
-                row = tuple(None if v is pd.NaT or isinstance(v, float) and v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else int(v) if hasattr(v, "item") and isinstance(v.item(), int) else v for v in row)
+                row = tuple(map(_plain, row, whole))
                 mine = dict(zip(columns, row, strict=True))
-                side, at = mine["__side"], mine["__ms"]
-                found = [h for h in held if h[columns.index("__side")] != side and abs(h[columns.index("__ms")] - at) <= self.within]
+                side, at = mine["side__"], mine["ms__"]
+                found = [h for h in held if h[columns.index("side__")] != side and abs(h[columns.index("ms__")] - at) <= self.within]
                 for h in found:
                     other = dict(zip(columns, h, strict=True))
                     l, r = (mine, other) if side == "l" else (other, mine)  # noqa: E741
-                    out.append({"__et": max(l["__ms"], r["__ms"])} | {c: l[c] for c in self.left} | {c: r[c] for c in self.right})
+                    out.append({"et__": max(l["ms__"], r["ms__"])} | {c: l[c] for c in self.left} | {c: r[c] for c in self.right})
                 if not found and side == self.outer:
-                    out.append({"__et": at} | {c: mine[c] if side == "l" else None for c in self.left} | {c: mine[c] if side == "r" else None for c in self.right})
+                    out.append({"et__": at} | {c: mine[c] if side == "l" else None for c in self.left} | {c: mine[c] if side == "r" else None for c in self.right})
                 held.append(row)
         mark = timerValues.getCurrentWatermarkInMs()
-        kept = [h for h in held if h[columns.index("__ms")] + 2 * self.within >= mark]
+        kept = [h for h in held if h[columns.index("ms__")] + 2 * self.within >= mark]
         self.rows.put(kept) if kept else self.rows.clear()
-        yield pd.DataFrame(out, columns=["__et", *self.left, *self.right])
+        yield pd.DataFrame(out, columns=["et__", *self.left, *self.right])
 
     def close(self) -> None:
         pass
@@ -58,23 +68,23 @@ def eager_outer_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, st
 
     def side(df, mark, own, other, other_mark, other_df):
         return df.select(
-            F.lit(mark).alias("__side"), to_millis(F.col("event_time")).alias("__ms"), F.col("event_time").alias("__time"),
-            *[F.col(f"`{k[0 if mark == 'l' else 1]}`").alias(f"__k{n}") for n, k in enumerate(keys)],
+            F.lit(mark).alias("side__"), to_millis(F.col("event_time")).alias("ms__"), F.col("event_time").alias("time__"),
+            *[F.col(f"`{k[0 if mark == 'l' else 1]}`").alias(f"k{n}__") for n, k in enumerate(keys)],
             *[F.col(f"`{c}`").alias(f"{mark}_{c}") for c in own], *[F.lit(None).cast(other_df.schema[c].dataType).alias(f"{other_mark}_{c}") for c in other],
         )
 
     a, b = side(left, "l", l_cols, r_cols, "r", right), side(right, "r", r_cols, l_cols, "l", left)
-    both = a.unionByName(b).withWatermark("__time", f"{lateness} milliseconds")
-    some = " OR ".join(f"__k{n} IS NOT NULL" for n in range(len(keys)))
-    state = T.StructType([f for f in both.schema if f.name != "__time" and not f.name.startswith("__k")])
+    both = a.unionByName(b).withWatermark("time__", f"{lateness} milliseconds")
+    some = " OR ".join(f"k{n}__ IS NOT NULL" for n in range(len(keys)))
+    state = T.StructType([f for f in both.schema if f.name != "time__" and not re.fullmatch(r"k\d+__", f.name)])
     l_names, r_names = [f"l_{c}" for c in l_cols], [f"r_{c}" for c in r_cols if c not in {k for _, k in keys}]
     fields = {f.name: f for f in both.schema}
-    output = T.StructType([T.StructField("__et", T.LongType()), *[fields[c] for c in (*l_names, *r_names)]])
-    grouped = both.where(some).groupBy(*[f"__k{n}" for n in range(len(keys))])
+    output = T.StructType([T.StructField("et__", T.LongType()), *[fields[c] for c in (*l_names, *r_names)]])
+    grouped = both.where(some).groupBy(*[f"k{n}__" for n in range(len(keys))])
     joined = grouped.transformWithStateInPandas(
         statefulProcessor=_EagerJoin(within, "l" if how == "left" else "r", state, l_names, r_names), outputStructType=output, outputMode="Append", timeMode="EventTime"
     )
-    return joined.select(F.timestamp_millis("__et").alias("event_time"), *l_names, *r_names)
+    return joined.select(F.timestamp_millis("et__").alias("event_time"), *l_names, *r_names)
 
 
 def record_late_windows(df: DataFrame, lateness: int) -> DataFrame:
