@@ -1,9 +1,9 @@
 """Repeated runs of lines, found by winnowing and deleted but for their first occurrence.
 
 Lines with a word are hashed (words joined by one blank).  A gram is the shortest run of lines from one on that holds
-``WORDS`` words; a window is that gram and up to three following ones (as many as the gram has lines), and the
-smallest gram hash of every window is a fingerprint.  A repeated run with a line of fifty words, or with fifty words
-and three more lines, therefore shares a fingerprint with its first occurrence.  Occurrences are joined with the
+``WORDS`` words; a window is ``SPAN`` grams in a row, or one where the gram has no more than two lines, and the smallest
+gram hash of every window is a fingerprint.  A repeated run therefore shares a fingerprint with its first occurrence if
+one or two of its lines hold fifty words, or if it holds fifty words in more lines and one line besides.  Occurrences are joined with the
 first one only (in order of id, then position), matches are extended line by line both ways, and later runs go.
 Every deleted line has an equal line earlier in the order, the first of which always stays.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_values, checkpointed
 
-WORDS, SPAN, BROADCAST_ROWS = 50, 4, 100_000
+WORDS, SPAN, BROADCAST_ROWS = 50, 2, 100_000
 
 
 def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
@@ -52,7 +52,7 @@ def selected(hashes: list[int], words: list[int], least: int = WORDS) -> list[tu
         grams.append(xxhash.xxh64_intdigest(raw[8 * k : 8 * end]) - (1 << 63))
         sizes.append(end - k)
         held -= words[k]
-    chosen = {min(range(k, min(k + min(SPAN, sizes[k]), len(grams))), key=grams.__getitem__) for k in range(len(grams))}
+    chosen = {min(range(k, min(k + (SPAN if sizes[k] > 2 else 1), len(grams))), key=grams.__getitem__) for k in range(len(grams))}
     return [(k, grams[k]) for k in sorted(chosen)]
 
 
