@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 META = "▁"
-CACHE = 800_000
+CACHE = 400_000
 _ROWS = 256
 
 
@@ -160,19 +160,26 @@ class Model:
 
 
 class Paths(dict):
-    """normalised part -> its ids as 32-bit integers, computed when first asked for; emptied when full."""
+    """normalised part -> its ids as 32-bit integers, computed when first asked for.
+
+    Half the places are for recent parts; when these are full they become the old ones, and an old part that is asked
+    for again is recent again, so that frequent parts stay.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.pairs = model, {}
+        self.model, self.pairs, self.old = model, {}, {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        if len(self.pairs) > CACHE:
-            self.pairs.clear()
-        found = np.array(self.model.path(part, self.pairs), dtype=np.int32).tobytes()
+        found = self.old.get(part)
+        if found is None:
+            if len(self.pairs) > CACHE:
+                self.pairs.clear()
+            found = np.array(self.model.path(part, self.pairs), dtype=np.int32).tobytes()
         if len(part) < 64:
+            if 2 * len(self) >= CACHE:
+                self.old = self.copy()
+                self.clear()
             self[part] = found
         return found
 
