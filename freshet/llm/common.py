@@ -49,8 +49,14 @@ def _local_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="freshet-checkpoints-")
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(rows, schema)
+def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` that gives unused Arrow memory back when a task ends, as workers stay for the stages that follow."""
+
+    def run(batches):
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def binary_values(column: pa.Array) -> list:

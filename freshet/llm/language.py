@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_values, checkpointed
+from .common import ASCII_LOWER, binary_values, checkpointed, map_rows
 
 BUCKETS, EVIDENCE, SAMPLE_ROWS = 1 << 16, 300, 4000
 #: Pseudo-counts towards the level above; and of a declaration being right before any is seen.
@@ -56,7 +56,7 @@ def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", la
     share = rows / max(rows, labelled.count())
     some = some.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).drop("h").limit(2 * rows)
     total: dict[str, np.ndarray] = {}
-    for r in some.mapInArrow(_counts, "lang string, counts binary").collect():  # a fixed size for each language
+    for r in map_rows(some, _counts, "lang string, counts binary").collect():  # a fixed size for each language
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], dtype=np.int64)
     langs = sorted(total)
     table = np.stack([total[k] for k in langs], axis=1) + 0.5 if langs else np.zeros((BUCKETS, 0))
@@ -106,7 +106,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_confidenc
     picked = rows.select("id", blank("host").alias("host"), blank("suffix").alias("suffix"), F.col("text"), declared.alias("declared"))
     kind, raw = picked.schema["id"].dataType.simpleString(), np.ascontiguousarray(table).tobytes()
     schema = f"id {kind}, host string, suffix string, declared string, " + "".join(f"t{k} double, " for k in some) + "n bigint"
-    scored = picked.mapInArrow(lambda b: _likelihoods(b, raw, span), schema)
+    scored = map_rows(picked, lambda b: _likelihoods(b, raw, span), schema)
     alone = _normal([F.col(f"t{k}") for k in some])
     scored = checkpointed(scored.select("*", *[F.when(F.col("n") > 0, p).otherwise(0.0).alias(f"p{k}") for k, p in enumerate(alone)]))
     sums = [F.sum(f"p{k}").alias(f"s{k}") for k in some]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_values, checkpointed
+from .common import ASCII_LOWER, binary_values, checkpointed, map_rows
 
 MIN_DOCS, SHARE, REMAIN = 30, 0.01, 0.5
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -79,7 +79,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     schema = f"id {kind}, host string, " + ", ".join(f"{m} bigint" for m in MEASURES) + ", line array<bigint>, line_words array<bigint>"
-    base = checkpointed(picked.mapInArrow(_measured, schema).withColumn("row", F.monotonically_increasing_id()))
+    base = checkpointed(map_rows(picked, _measured, schema).withColumn("row", F.monotonically_increasing_id()))
     lines = base.select("row", "host", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("row", "host", "x.line", "x.line_words")
     hosts = base.groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = (

@@ -30,7 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import binary_values, map_rows
+
 META = "▁"
+_META = META.encode()
 CACHE = 400_000
 _ROWS = 256
 
@@ -56,14 +59,14 @@ class Model:
         #: The trie's states: a prefix of a piece is a state; a piece is a final one.
         self.states = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         inner = any(META in p.lstrip(META) for p in self.ids)
-        self.parts = re.compile(r"(?s).+" if inner else rf"{META}*[^{META}\n]+|{META}+|\n")
-        self.splits = not inner
+        self.parts = re.compile(rb"(?s).+" if inner else rb" *[^ \n]+| +|\n")
 
-    def normalise(self, text: str) -> str:
+    def normalise(self, text: bytes) -> bytes:
+        """Blanks stand for meta symbols here, in UTF-8: as keys of the cache they take less room."""
+        text = text.replace(_META, b" ")
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        text = text.replace(" ", META)
-        return META + text if text and self.dummy_prefix else text
+            text = re.sub(b" +", b" ", text.strip(b" "))
+        return b" " + text if text and self.dummy_prefix else text
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merge procedure itself, for short strings: best score first, leftmost among equals."""
@@ -150,7 +153,7 @@ class Model:
         valid = pairs[(left + 1) << 32 | right] = self.merged(list("".join(names))) == names
         return valid
 
-    def encode(self, text: str, cache: Paths | None = None) -> np.ndarray:
+    def encode(self, text: bytes, cache: Paths | None = None) -> np.ndarray:
         cache = Paths(self) if cache is None else cache
         return np.frombuffer(b"".join(map(cache.__getitem__, self.parts.findall(self.normalise(text)))), dtype=np.int32)
 
@@ -170,12 +173,12 @@ class Paths(dict):
         super().__init__()
         self.model, self.pairs, self.old = model, {}, {}
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, part: bytes) -> bytes:
         found = self.old.get(part)
         if found is None:
             if len(self.pairs) > CACHE:
                 self.pairs.clear()
-            found = np.array(self.model.path(part, self.pairs), dtype=np.int32).tobytes()
+            found = np.array(self.model.path(part.decode().replace(" ", META), self.pairs), dtype=np.int32).tobytes()
         if len(part) < 64:
             if 2 * len(self) >= CACHE:
                 self.old = self.copy()
@@ -223,11 +226,11 @@ def _encoded(batches, key, raw):
         for at in range(0, whole.num_rows, _ROWS):
             batch = whole.slice(at, _ROWS)
             ids, ends, round_trip = [], [0], []
-            for text in batch.column(0).to_pylist():
-                own = model.encode(text or "", paths)
+            for text in binary_values(batch.column(0)):
+                own = model.encode(text or b"", paths)
                 ids.append(own)
                 ends.append(ends[-1] + len(own))
-                round_trip.append(model.decode(own.tolist()) == (text or "").encode())
+                round_trip.append(model.decode(own.tolist()) == (text or b""))
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([tokens, pa.array(np.diff(ends), pa.int64()), pa.array(round_trip, pa.bool_()), *batch.columns[1:]], names=["token_ids", "n_tokens", "round_trip", *batch.schema.names[1:]])
@@ -254,8 +257,8 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None)
     others = [f for f in docs.schema if f.name not in (text_col, "token_ids", "n_tokens", "round_trip")]
     key, raw = _shipped(model or compile_model(default_model()))
     types_ = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in others)
-    return docs.select(F.col(text_col).cast("string"), *[f.name for f in others]).mapInArrow(
-        partial(_encoded, key=key, raw=raw), "token_ids array<int>, n_tokens bigint, round_trip boolean" + types_
+    return map_rows(
+        docs.select(F.col(text_col).cast("string"), *[f.name for f in others]), partial(_encoded, key=key, raw=raw), "token_ids array<int>, n_tokens bigint, round_trip boolean" + types_
     )
 
 
@@ -264,7 +267,7 @@ def decode(rows: DataFrame, ids_col: str = "token_ids", model: Model | None = No
     others = [f for f in rows.schema if f.name not in (ids_col, "text")]
     key, raw = _shipped(model or compile_model(default_model()))
     types_ = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in others)
-    return rows.select(ids_col, *[f.name for f in others]).mapInArrow(partial(_decoded, key=key, raw=raw), "text string" + types_)
+    return map_rows(rows.select(ids_col, *[f.name for f in others]), partial(_decoded, key=key, raw=raw), "text string" + types_)
 
 
 def op5_sentencepiece_paths(spark, sf_dir: str) -> DataFrame:

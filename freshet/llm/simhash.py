@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, connected_components
+from .common import binary_values, checkpointed, connected_components, map_rows
 
 LIMIT = 4
 #: Largest bucket compared inside one task; larger ones take the midpoint route, which is exact too.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), prints, *batch.columns[2:]], names=names)
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([keep] if keep else []))
-    return picked.mapInArrow(rows, f"id {kind.simpleString()}, fp bigint" + (f", {keep} bigint" if keep else ""))
+    return map_rows(picked, rows, f"id {kind.simpleString()}, fp bigint" + (f", {keep} bigint" if keep else ""))
 
 
 def _blocks(count: int) -> list[int]:
@@ -136,7 +136,7 @@ def link_fingerprints(distinct: DataFrame, limit: int = LIMIT, bucket: int = BUC
     some = not crowded.isEmpty()
     plain = keyed.join(crowded, ["k", "key"], "left_anti") if some else keyed
     lists = plain.groupBy("k", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    edges = lists.mapInArrow(lambda b: _links(b, limit), "a bigint, b bigint")
+    edges = map_rows(lists, lambda b: _links(b, limit), "a bigint, b bigint")
     if some:
         edges = edges.unionByName(_midpoints(keyed.join(crowded, ["k", "key"], "left_semi").select("fp").distinct(), limit))
     return connected_components(edges)

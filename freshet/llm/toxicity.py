@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed
+from .common import binary_values, checkpointed, map_rows
 
 TOXIC_ROWS, OTHER_ROWS, FIT_TOKENS, LEXICON = 2000, 4000, 2000, 20_000
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
@@ -197,12 +197,12 @@ def fit(labelled: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTH
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return None
-    counts = rows.mapInArrow(_document_counts, "feature binary, other bigint, toxic bigint").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = map_rows(rows, _document_counts, "feature binary, other bigint, toxic bigint").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("other") + 0.5) / (totals[0] + 1))
     low = odds - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     strong = counts.where("toxic >= 3").select("feature", low.alias("low")).where(F.col("low") >= float(BANDS[0])).orderBy(F.desc("low"), "feature").limit(LEXICON)
     lexicon = {bytes(r["feature"]): int(np.searchsorted(BANDS, r["low"], side="right")) for r in strong.collect()}
-    held = rows.mapInArrow(lambda b: _sequences(b, lexicon, FIT_TOKENS), "toxic int, codes binary").collect()
+    held = map_rows(rows, lambda b: _sequences(b, lexicon, FIT_TOKENS), "toxic int, codes binary").collect()
     codes, toxic = [np.frombuffer(r["codes"], dtype=np.int16) for r in held], [r["toxic"] for r in held]
     chain = fit_chain(codes, toxic)
     over = Chain(codes)
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     if model is None:
         return picked.select("id", F.lit(0.0).alias("score"), F.array().cast("array<struct<start:int,finish:int>>").alias("spans"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(lambda b: _scored(b, model), f"id {kind}, score double, spans array<struct<start:int,finish:int>>")
+    return map_rows(picked, lambda b: _scored(b, model), f"id {kind}, score double, spans array<struct<start:int,finish:int>>")
 
 
 def held_out(id_col):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed
+from .common import binary_values, checkpointed, map_rows
 
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -154,7 +154,7 @@ def _members(batches, version):
 def write_archives(pages: DataFrame, path: str, version: int = 1, records_per_file: int = 50_000) -> None:
     """Write (id, url, payload, first, first_url) rows to ``part-*.warc.gz`` files under ``path``."""
     spark = pages.sparkSession
-    members = pages.select("id", "url", "payload", "first", "first_url").mapInArrow(lambda b: _members(b, version), "value binary")
+    members = map_rows(pages.select("id", "url", "payload", "first", "first_url"), lambda b: _members(b, version), "value binary")
     # The text sink writes a value's bytes as they are, and its separator is the empty gzip member.
     (members.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
         .option("maxRecordsPerFile", records_per_file).text(path))
@@ -188,7 +188,7 @@ def read_archives(spark, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.warc.gz").load(path)
-    return files.select("content").mapInArrow(rows, "record_id string, type string, page_id string, payload_bytes bigint, payload_digest string, refers_to string")
+    return map_rows(files.select("content"), rows, "record_id string, type string, page_id string, payload_bytes bigint, payload_digest string, refers_to string")
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", version: int = 1, path: str | None = None, min_revisit: int = MIN_REVISIT) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed
+from .common import binary_values, checkpointed, map_rows
 
 WORDS, SPAN, BROADCAST_ROWS = 50, 2, 100_000
 
@@ -102,7 +102,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    base = picked.mapInArrow(_lines, f"id {kind}, hash bigint, lines array<bigint>, positions array<int>, grams array<bigint>").dropDuplicates(["id", "hash"])
+    base = map_rows(picked, _lines, f"id {kind}, hash bigint, lines array<bigint>, positions array<int>, grams array<bigint>").dropDuplicates(["id", "hash"])
     base = checkpointed(base.withColumn("doc", F.monotonically_increasing_id()))
     each = base.select("id", "hash", "doc", F.explode(F.arrays_zip("positions", "grams")).alias("x")).select(
         F.struct(F.col("id").isNull().alias("none"), "id", "hash", F.col("x.positions").alias("position"), "doc").alias("place"), F.col("x.grams").alias("gram")
@@ -120,7 +120,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc", "at", F.slice("all", low + 1, F.greatest(F.least(F.size("all"), F.col("size") - F.col("shift")) - low, F.lit(0))).alias("other"), (F.col("shift") + low).alias("shift")
     )
     both = side.join(mine, F.col("doc") == F.col("d")).select("id", "hash", "lines", "other", "at", "shift")
-    found = both.mapInArrow(_runs, f"id {kind}, hash bigint, runs array<struct<start:int,finish:int>>")
+    found = map_rows(both, _runs, f"id {kind}, hash bigint, runs array<struct<start:int,finish:int>>")
     return found.groupBy("id", "hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
@@ -160,7 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     others = [c for c in docs.columns if c != text_col]
     joined = work.join(F.broadcast(runs) if few else runs, same, "left").select(F.col(text_col).cast("string"), "runs", *others)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    out = joined.mapInArrow(_deleted, "__text string, __lines bigint, __words bigint, __left boolean" + (f", {types}" if types else ""))
+    out = map_rows(joined, _deleted, "__text string, __lines bigint, __words bigint, __left boolean" + (f", {types}" if types else ""))
     return out.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns], "__lines", "__words", "__left")
 
 
