@@ -59,6 +59,12 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
+    """``df`` with columns c0, c1, ..., these names by the old ones, and the way back; nothing can clash in between."""
+    at = {name: f"c{k}" for k, name in enumerate(df.columns)}
+    return df.toDF(*at.values()), at, lambda out, *more: out.select(*[F.col(c).alias(name) for name, c in at.items()], *more)
+
+
 def binary_values(column: pa.Array) -> list:
     """UTF-8 bytes of a string column; None for nulls."""
     if pa.types.is_large_string(column.type):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, numbered
 
 SHINGLE, THRESHOLD, BROADCAST_ROWS = 5, 0.8, 1_000_000
 
@@ -72,9 +72,9 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = TH
     """``docs`` without those that hold a benchmark item."""
     found = checkpointed(contained(docs, items, threshold).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    work = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = work.doc_id.eqNullSafe(found["__id"]) & (work["__text_hash"] == found["__hash"])
-    return work.join(F.broadcast(found) if few else found, same, "left_anti").select(*docs.columns)
+    work, at, restored = numbered(docs)
+    same = work[at["doc_id"]].eqNullSafe(found["__id"]) & (F.xxhash64(work[at["text"]]) == found["__hash"])
+    return restored(work.join(F.broadcast(found) if few else found, same, "left_anti"))
 
 
 def op8_minhash_containment(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_values, checkpointed, map_rows
+from .common import ASCII_LOWER, binary_values, checkpointed, map_rows, numbered
 
 BUCKETS, EVIDENCE, SAMPLE_ROWS = 1 << 16, 300, 4000
 #: Pseudo-counts towards the level above; and of a declaration being right before any is seen.
@@ -155,13 +155,12 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose language is undetermined; rows alike in all inputs share a decision."""
-    key = F.xxhash64("text", "source")
     rows = document_evidence(docs).withColumn("id", F.struct("id", F.xxhash64("text", "host").alias("key")))
     gone = checkpointed(identify(rows, fit(docs)).where(~F.col("kept")).select(F.col("id.id").alias("__id"), F.col("id.key").alias("__key")).distinct())
     few = gone.limit(HOST_ROWS + 1).count() <= HOST_ROWS
-    work = docs.withColumn("__row_key", key)
-    same = work.doc_id.eqNullSafe(gone["__id"]) & (work["__row_key"] == gone["__key"])
-    return work.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)
+    work, at, restored = numbered(docs)
+    same = work[at["doc_id"]].eqNullSafe(gone["__id"]) & (F.xxhash64(work[at["text"]], work[at["source"]]) == gone["__key"])
+    return restored(work.join(F.broadcast(gone) if few else gone, same, "left_anti"))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

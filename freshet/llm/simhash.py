@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, connected_components, map_rows
+from .common import binary_values, checkpointed, connected_components, map_rows, numbered
 
 LIMIT = 4
 #: Largest bucket compared inside one task; larger ones take the midpoint route, which is exact too.
@@ -187,6 +187,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, limit: int = LIMIT) -> DataFrame
     by_print = prints.groupBy("fp").agg(first)
     by_class = by_print.join(roots, by_print.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("m").alias("m"))
     stays = checkpointed(by_class.select(F.col("m.id").alias("__id"), F.col("m.hash").alias("__hash")))
-    work = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = work.doc_id.eqNullSafe(stays["__id"]) & (work["__text_hash"] == stays["__hash"])
-    return work.join(stays, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    work, at, restored = numbered(docs)
+    work = work.withColumn("hash", F.xxhash64(at["text"]))
+    same = work[at["doc_id"]].eqNullSafe(stays["__id"]) & (work["hash"] == stays["__hash"])
+    return restored(work.join(stays, same, "left_semi").dropDuplicates([at["doc_id"], "hash"]))

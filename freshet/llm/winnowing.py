@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, map_rows
+from .common import binary_values, checkpointed, map_rows, numbered
 
 WORDS, SPAN, BROADCAST_ROWS = 50, 2, 100_000
 
@@ -148,25 +148,35 @@ def _deleted(batches):
             words.append(w)
             left.append(bool(text and text.strip(" \t\n\v\f\r")))
         arrays = [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(words, pa.int64()), pa.array(left, pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], names=["__text", "__lines", "__words", "__left", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], names=["text", "lines", "words", "left", *batch.schema.names[2:]])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated runs deleted from the text, and ``__lines``, ``__words`` deleted and ``__left`` (a word is left)."""
-    runs = checkpointed(repeated_runs(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("hash").alias("__run_hash"), "runs"))
+def _dedup(docs: DataFrame, id_col: str, text_col: str):
+    """Numbered columns with repeated runs deleted from the text, beside ``lines``, ``words`` and ``left``, and the way back."""
+    runs = checkpointed(repeated_runs(docs, id_col, text_col).select("id", "hash", "runs"))
     few = runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    work = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    same = work[id_col].eqNullSafe(runs["__id"]) & (work["__text_hash"] == runs["__run_hash"])
-    others = [c for c in docs.columns if c != text_col]
-    joined = work.join(F.broadcast(runs) if few else runs, same, "left").select(F.col(text_col).cast("string"), "runs", *others)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    out = map_rows(joined, _deleted, "__text string, __lines bigint, __words bigint, __left boolean" + (f", {types}" if types else ""))
-    return out.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns], "__lines", "__words", "__left")
+    work, at, restored = numbered(docs)
+    same = work[at[id_col]].eqNullSafe(runs["id"]) & (F.xxhash64(work[at[text_col]]) == runs["hash"])
+    others = [f for f in work.schema if f.name != at[text_col]]
+    joined = work.join(F.broadcast(runs) if few else runs, same, "left").select(F.col(at[text_col]).cast("string"), "runs", *[f.name for f in others])
+    types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    return map_rows(joined, _deleted, "text string, lines bigint, words bigint, left boolean" + types).withColumnRenamed("text", at[text_col]), restored
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated runs deleted from the text, and ``__lines``, ``__words`` deleted and ``__left`` (a word is left).
+
+    Columns of ``docs`` that have these three names are replaced.
+    """
+    own = ("__lines", "__words", "__left")
+    out, restored = _dedup(docs.drop(*own), id_col, text_col)
+    return restored(out, *[F.col(c[2:]).alias(c) for c in own])
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated runs deleted; documents of which no word is left, because of that, go."""
-    return dedup_lines(docs).where(F.col("__left") | (F.col("__lines") == 0)).select(*docs.columns)
+    out, restored = _dedup(docs, "doc_id", "text")
+    return restored(out.where("left OR lines = 0"))
 
 
 def op4_winnowed_lines(spark, sf_dir: str) -> DataFrame:

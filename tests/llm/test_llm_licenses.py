@@ -1,0 +1,56 @@
+from freshet.llm import licenses
+
+MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without '
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
+)
+CASES = [
+    (None, "", "", ""),
+    ("", "", "", ""),
+    ("A permission that nobody granted. Warranty!", "", "", ""),
+    ("Intro. Released under the MIT License. More", "MIT", "MitRef", ""),
+    ("LICENSED UNDER THE  apache   LICENCE, version 2.0\nrest", "Apache-2.0", "ApacheRef2", ""),
+    ("The MIT License.\n" + MIT, "MIT", "MitRef,MitGrant,MitNotice", ""),
+    ("The MIT License.\n" + MIT + "All rights reserved.", "MIT,Proprietary", "MitRef,MitGrant,MitNotice,AllRights", ""),
+    ("Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.", "CC-BY-NC-4.0,CC-BY-4.0", "CcBy4,CcByNc4,CcBy4", ""),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later", "GplFree3a,GplFree3b", ""),
+    ("You may obtain a copy of the License at\nhttp://x", "", "ApacheCopy", "ApacheCopy"),
+    ("All rights reserved. " * 3, "Proprietary", "AllRights,AllRights,AllRights", ""),
+]
+
+
+def rules(ids):
+    """What the ordered rules make of a sequence of identifiers, by lists."""
+    names = []
+    for name, seq in licenses.RULES:
+        k, out = 0, []
+        while k < len(ids):
+            if ids[k : k + len(seq)] == seq:
+                names += [name] if name not in names else []
+                k += len(seq)
+            else:
+                out.append(ids[k])
+                k += 1
+        ids = out
+    return names, ids
+
+
+def test_recognised_notices(spark):
+    docs = spark.createDataFrame([(k, c[0], "clash") for k, c in enumerate(CASES)], "doc_id long, text string, ids string")
+    got = {r["id"]: (r["licenses"], r["sentence_ids"], r["unmatched_ids"]) for r in licenses.licences(docs).collect()}
+    assert got == {k: c[1:] for k, c in enumerate(CASES)}
+
+
+def test_rules_in_order(spark):
+    for _, names, ids, left in CASES:
+        found, rest = rules(ids.split(",") if ids else [])
+        assert (",".join(found), ",".join(rest)) == (names, left)
+
+
+def test_every_known_sentence_is_found_alone(spark):
+    sentences = sorted(licenses.SENTENCES)
+    docs = spark.createDataFrame([(k, f"Before it.\n{s}.\nAfter it.") for k, s in enumerate(sentences) if "v." not in s], "doc_id long, text string")
+    got = {r["id"]: r["sentence_ids"] for r in licenses.licences(docs).collect()}
+    wrong = [(sentences[k], v) for k, v in got.items() if v != licenses.SENTENCES[sentences[k]]]
+    assert not wrong
