@@ -23,6 +23,7 @@ import itertools
 import re
 import sys
 import types
+from array import array
 from functools import partial
 
 import numpy as np
@@ -51,10 +52,11 @@ class Model:
         self.unknown = next((k for k, (_, _, kind) in enumerate(pieces) if kind == "unknown"), 0)
         self.out = [bytes([int(p[3:5], 16)]) if kind == "byte" else b"" if kind == "control" else b" \xe2\x81\x87 " if kind == "unknown" else p.replace(META, " ").encode() for p, _, kind in pieces]
         self.longest = max(map(len, self.ids), default=1)
-        #: Length of the longest piece by its first three characters.
+        #: Length of the longest piece by its first four characters; other pieces have three at most.
         self.reach: dict[str, int] = {}
-        for p in self.ids:
-            self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 0))
+        for p in filter(lambda p: len(p) > 3, self.ids):
+            self.reach[p[:4]] = max(len(p), self.reach.get(p[:4], 0))
+        self.chars = {p for p in self.ids if len(p) == 1}
         self.least = min((s for (_, s, kind) in pieces if kind == "normal"), default=0.0) - 10.0
         #: The trie's states: a prefix of a piece is a state; a piece is a final one.
         self.states = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
@@ -88,7 +90,7 @@ class Model:
         """Ids along the least path of one normalised part."""
         if not self.merges:
             return self.least_path(part)
-        if all(map(self.ids.__contains__, part)):
+        if self.chars.issuperset(part):
             return tuple(self.free_path(part, pairs))
         out: list[int] = []
         for known, run in itertools.groupby(part, self.ids.__contains__):  # no merge crosses a character without a piece
@@ -128,7 +130,7 @@ class Model:
         dead: set[int] = set()
         at, most, last = 0, n, -1
         while at < n:
-            for end in range(min(most, at + reach(part[at : at + 3], 2)), at, -1):
+            for end in range(min(most, at + reach(part[at : at + 4], 3)), at, -1):
                 found = get(part[at:end])
                 if found is not None and end not in dead:
                     valid = known((last + 1) << 32 | found)
@@ -178,7 +180,7 @@ class Paths(dict):
         if found is None:
             if len(self.pairs) > CACHE:
                 self.pairs.clear()
-            found = np.array(self.model.path(part.decode().replace(" ", META), self.pairs), dtype=np.int32).tobytes()
+            found = array("i", self.model.path(part.decode().replace(" ", META), self.pairs)).tobytes()
         if len(part) < 64:
             if 2 * len(self) >= CACHE:
                 self.old = self.copy()
