@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StatementError
-from ..types import kind_of
+from ..types import kind_of, to_millis
 
 #: A table side of at most so many rows is broadcast; above, or where it can't be counted, Spark decides.
 BROADCAST_ROWS = 200_000
@@ -45,6 +45,19 @@ def _output(joined: DataFrame, event_time, left_cols, right_cols) -> DataFrame:
     return joined.select(event_time.alias("event_time"), *[F.col(f"`{c}`") for c in left_cols], *[F.col(f"`{c}`") for c in right_cols])
 
 
+def _by_time(l_side: DataFrame, r_side: DataFrame, within: int, how: str):
+    """Both sides with a ``__slot`` of time that rows within reach of each other share.
+
+    The side that an outer join pads has one slot a row, the other is repeated in each of the one or two that it reaches, so
+    a pair still meets once.  A key with a long history is then compared slot by slot and not as a whole.
+    """
+    width = 4 * within + 4
+    slot = lambda side, shift: F.floor((to_millis(F.col(f"{side}_event_time")) + shift) / F.lit(width))
+    one = lambda df, side: df.withColumn("__slot", slot(side, 0))
+    each = lambda df, side: df.withColumn("__slot", F.explode(F.sequence(slot(side, -within - 1), slot(side, within + 1))))
+    return (one(l_side, "l"), each(r_side, "r")) if how != "right" else (each(l_side, "l"), one(r_side, "r"))
+
+
 def stream_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], within: int, how: str = "inner") -> DataFrame:
     """Rows with equal keys whose event times are ``within`` ms of each other, both ends included.
 
@@ -56,8 +69,12 @@ def stream_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     l_side, r_side = _sides(left, right, keys)
     span = F.expr(f"INTERVAL {within} MILLISECOND")
     near = (F.col("r_event_time") >= F.col("l_event_time") - span) & (F.col("r_event_time") <= F.col("l_event_time") + span)
-    joined = l_side.join(r_side, _equal(keys, len(keys) > 1 and not streaming) & near, how)
-    dropped = {f"r_{b}" for _, b in keys}
+    on, dropped = _equal(keys, len(keys) > 1 and not streaming) & near, {f"r_{b}" for _, b in keys}
+    if streaming:
+        joined = l_side.join(r_side, on, how)
+    else:
+        l_slots, r_slots = _by_time(l_side, r_side, within, how)
+        joined = l_slots.join(r_slots, on & (l_slots["__slot"] == r_slots["__slot"]), how)
     right_cols = [c for c in r_side.columns if c not in dropped]
     return _output(joined, F.greatest("l_event_time", "r_event_time"), l_side.columns, right_cols)
 
