@@ -7,6 +7,9 @@ blocks, four changed bits leave m - 4 unchanged), and inside each key the pivot
 distances to sixteen reference fingerprints are computed once a fingerprint, a pair goes when any coordinate
 differs by more than the limit (the triangle inequality, so no link is lost), and survivors are verified.
 
+``keep_one`` links texts by the Jaccard similarity of their word shingles instead, which a few bits of a fingerprint
+don't bound: fingerprints give it the first candidates, a prefix filter all others, and every link is verified exactly.
+
 Defined cases: null and blank texts have fingerprint 0 and are linked like any other; equal fingerprints are one
 class; rows repeated in the input come back repeated; an empty table gives an empty result; a null id never
 becomes the name of a class that has any other id.  Columns other than the two named are not looked at.
@@ -15,6 +18,7 @@ becomes the name of a class that has any other id.  Columns other than the two n
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,32 +29,44 @@ from pyspark.sql import functions as F
 from .common import binary_values, checkpointed, connected_components, map_rows, numbered
 
 LIMIT = 4
+#: Of word shingles, for the stage that keeps one document of a class; shingles taken as common, and nodes broadcast.
+SIMILAR, COMMON, BROADCAST_ROWS = 0.8, 200_000, 500_000
 #: Largest bucket compared inside one task; larger ones take the midpoint route, which is exact too.
 BUCKET = 2048
 _STEP = 1 << 16
+_MOST = (1 << 16) - 1
 #: Rows of a Hadamard matrix as reference fingerprints: any two differ in 32 bits, so coordinates are independent.
 PIVOTS = np.array(
     [sum((bin(row & col).count("1") & 1) << col for col in range(64)) for row in range(1, 64, 4)], dtype=np.uint64
 )
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The unsigned fingerprint of one whole text (UTF-8)."""
+def _hashes(text: bytes | None, shingle: int):
+    """Hashes of the shingles of one whole text, in order, in arrays of ``_STEP`` at most; none without a word."""
     words = (text or b"").lower().split()  # bytes: A-Z only, and exactly the six ASCII blanks
     if not words:
-        return 0
+        return
     if len(words) < shingle:
         parts = iter([b" ".join(words)])
     else:
         parts = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
-    ones, total = np.zeros(64, dtype=np.int64), 0
     while chunk := [xxhash.xxh64_intdigest(p, 42) for p in itertools.islice(parts, _STEP)]:
-        hashes = np.array(chunk, dtype="<u8")
+        yield np.array(chunk, dtype="<u8")
+
+
+def _bits(chunks) -> int:
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in chunks:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        total += len(chunk)
+        total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """The unsigned fingerprint of one whole text (UTF-8)."""
+    return _bits(_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, keep: str | None = None) -> DataFrame:
     """(id, fp) a row, and the long column ``keep``; fp is the fingerprint's 64 bits as a signed long."""
     kind = docs.schema[id_col].dataType
@@ -174,18 +190,141 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, limit: int = LIMIT) -> DataFrame:
+def _sets(batches, shingle):
+    """(id, hash, fp, node, set): the set of a text's shingles as sorted hashes, and ``node``, which names the set."""
+    for batch in batches:
+        texts = binary_values(batch.column(1))
+        for at in range(0, len(texts), 512):
+            chunks = [list(_hashes(t, shingle)) for t in texts[at : at + 512]]
+            own = [np.unique(np.concatenate(c)).view(np.int64) if c else np.zeros(0, dtype=np.int64) for c in chunks]
+            prints = pa.array(np.array([_bits(c) for c in chunks], dtype=np.uint64).view(np.int64))
+            nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in own], dtype=np.uint64).view(np.int64))
+            part = batch.slice(at, len(own))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), prints, nodes, pa.array(own, pa.list_(pa.int64()))], names=["id", "hash", "fp", "node", "set"])
+
+
+def _prefixes(batches, common, least):
+    """(key, node, n): of each set as many shingles as a set of similarity ``least`` can't lack all of, rare ones first."""
+    for batch in batches:
+        keys, nodes, sizes = [], [], []
+        for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = own.values.to_numpy()
+            n = len(own)
+            often = np.isin(own, common) if len(common) else np.zeros(n, dtype=bool)
+            pick = np.concatenate([own[~often], own[often]])[: n - math.ceil(least * n - 1e-9) + 1]
+            keys.append(pick)
+            nodes.append(np.full(len(pick), node))
+            sizes.append(np.full(len(pick), n))
+        if keys:
+            columns = [np.concatenate(c) for c in (keys, nodes, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2].astype(np.int32))], names=["key", "node", "n"])
+
+
+def _unlinked(batches, least):
+    """Pairs of each bucket, a row being its (node, n, root), that differ in root and whose sizes allow the similarity."""
+    for batch in batches:
+        for members in batch.column(0):
+            v = members.values
+            node, n, root = (v.field(k).to_numpy() for k in ("node", "n", "root"))
+            order = np.argsort(n, kind="stable")
+            node, n, root = node[order], n[order], root[order]
+            until = np.searchsorted(n, n / least + 1e-9, side="right")
+            for k in range(len(n)):
+                others = k + 1 + np.flatnonzero(root[k + 1 : until[k]] != root[k])
+                if len(others):
+                    a, b = np.minimum(node[k], node[others]), np.maximum(node[k], node[others])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _alike(batches, least):
+    """The pairs whose sets have a Jaccard similarity of ``least`` or more."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _sketches(batches):
+    """(node, n, sketch): how many of a set's hashes have each of 128 endings."""
+    for batch in batches:
+        own = [s.values.to_numpy() for s in batch.column(1)]
+        sketches = [np.minimum(np.bincount(s & 127, minlength=128), _MOST).astype(np.uint16).tobytes() for s in own]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int32()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
+
+
+def _possible(batches, least):
+    """The pairs that may be similar: sets share no more than the smaller count of each ending."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, 128) for k in (4, 5))
+        n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+        both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        keep = (both >= least * (n + m - both) - 1e-9) | (np.maximum(n, m) >= _MOST)  # where counts may be cut, no bound
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _of_nodes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose nodes ``pairs`` hold."""
+    nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "set")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) that are similar; sketches discard most others before whole sets travel."""
+    pairs = checkpointed(pairs.where("a <> b").distinct())
+    brief = checkpointed(map_rows(_of_nodes(pairs, sets), _sketches, "node bigint, n int, sketch binary").dropDuplicates(["node"]))
+    x, y = (brief.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    pairs = checkpointed(map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb"), lambda b: _possible(b, least), "a bigint, b bigint"))
+    held = _of_nodes(pairs, sets).dropDuplicates(["node"])
+    x, y = held.select(F.col("node").alias("a"), F.col("set").alias("x")), held.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    return checkpointed(map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), lambda b: _alike(b, least), "a bigint, b bigint"))
+
+
+def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(node, root) over the nodes of ``sets`` (fp, node, set): classes of the links of Jaccard similarity ``least``.
+
+    No link is lost: in any one order, the first shingles of two similar sets (as many as a similar set can't lack all
+    of) meet.  The order puts shingles last that a sample finds often; what it misses costs time only.  Pairs first come
+    from the fingerprints and from each bucket's smallest node, so that a large group of near copies is one class
+    before the pairs that no link joins yet are looked at.
+    """
+    sample = sets.where(F.pmod("node", F.lit(16)) == 0).select(F.explode("set").alias("key")).groupBy("key").count().where("count >= 8")
+    common = np.array([r["key"] for r in sample.orderBy(F.desc("count"), "key").limit(COMMON).collect()], dtype=np.int64)
+    keys = map_rows(sets.select("node", "set"), lambda b: _prefixes(b, common, least), "key bigint, node bigint, n int")
+    buckets = keys.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("m")).where(F.size("m") > 1)
+    buckets = checkpointed(buckets.select("m").distinct().withColumn("bucket", F.monotonically_increasing_id()))
+    each = buckets.select("bucket", F.col("m")[0].alias("low"), F.explode("m").alias("x")).select("bucket", "low", "x.node", "x.n")
+    fits = F.least("low.n", "n") >= least * F.greatest("low.n", "n") - 1e-9
+    prints = sets.groupBy("fp").agg(F.min("node").alias("low"), F.collect_set("node").alias("nodes"))
+    roots = link_fingerprints(prints.select("fp")).select(F.col("node").alias("fp"), "root")
+    classed = prints.join(roots, "fp", "left").select("low", "nodes", F.coalesce("root", "fp").alias("root"))
+    lows = classed.groupBy("root").agg(F.min("low").alias("a"))
+    by_print = classed.select("root", F.explode("nodes").alias("b")).join(lows, "root").select("a", "b")
+    links = _verified(each.where(fits).select(F.col("low.node").alias("a"), F.col("node").alias("b")).unionByName(by_print), sets, least)
+    first = connected_components(links).withColumnRenamed("node", "other")
+    named = each.join(first, F.col("node") == F.col("other"), "left").select("bucket", F.struct("node", "n", F.coalesce("root", "node").alias("root")).alias("x"))
+    open_ = named.groupBy("bucket").agg(F.collect_list("x").alias("m"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("m")
+    more = _verified(map_rows(open_, lambda b: _unlinked(b, least), "a bigint, b bigint"), sets, least)
+    return connected_components(links.unionByName(more))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> DataFrame:
     """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, once.
 
-    A null doc_id comes after all others; rows alike in doc_id and text are copies of each other, while other
-    texts under a repeated doc_id count as documents of their own.
+    Classes are of links between texts whose sets of word shingles have a Jaccard similarity of ``least`` or more; texts
+    without a word are one class.  A null doc_id comes after all others; rows alike in doc_id and text are copies of each
+    other, while other texts under a repeated doc_id count as documents of their own.
     """
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    prints = checkpointed(fingerprints(hashed, "doc_id", "text", shingle, keep="hash"))
-    roots = link_fingerprints(checkpointed(prints.select("fp").distinct()), limit)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hashed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"))
+    sets = checkpointed(map_rows(hashed, lambda b: _sets(b, shingle), f"id {kind}, hash bigint, fp bigint, node bigint, set array<bigint>"))
+    roots = similar_sets(sets.select("fp", "node", "set"), least).withColumnRenamed("node", "other")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("m")
-    by_print = prints.groupBy("fp").agg(first)
-    by_class = by_print.join(roots, by_print.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("m").alias("m"))
+    by_node = sets.groupBy("node").agg(first)
+    by_class = by_node.join(roots, by_node["node"] == roots["other"], "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m"))
     stays = checkpointed(by_class.select(F.col("m.id").alias("__id"), F.col("m.hash").alias("__hash")))
     work, at, restored = numbered(docs)
     work = work.withColumn("hash", F.xxhash64(at["text"]))

@@ -75,3 +75,42 @@ def test_one_of_each_class_stays(spark):
     kept = kept.collect()
     root = roots({naive_fingerprint(r[1], 5) for r in rows})
     assert sorted(root[naive_fingerprint(r["text"], 5)] for r in kept) == sorted(set(root.values()))
+
+
+def jaccard_classes(texts, least=0.8):
+    """Smallest position in each class of ``texts``, over all pairs."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    low = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if low[x] != low[y] and len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y]):
+                a, b = sorted((low[x], low[y]))
+                low = [a if v == b else v for v in low]
+    return low
+
+
+def edited(pick, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[pick.randrange(len(words))] = f"new{pick.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_every_edited_copy_of_similarity_goes_and_no_other(spark):
+    """Against brute force: copies at more than four bits, chains of them, a large group, and lines that most texts hold."""
+    pick = random.Random(11)
+    line = prose(9, 25)
+    texts = [f"{prose(100 + k, pick.choice([30, 120, 300]))} {line if k % 2 else ''}" for k in range(80)]
+    for base in texts[:40]:
+        for _ in range(3):
+            base = edited(pick, base, pick.randrange(1, 8))
+            texts.append(base)
+    texts += [edited(pick, texts[0], 1) for _ in range(60)]
+    low = jaccard_classes(texts)
+    far = [bin(naive_fingerprint(texts[x], 5) ^ naive_fingerprint(texts[low[x]], 5)).count("1") for x in range(len(texts))]
+    assert sum(f > 4 for f in far) > 20 and len(set(low)) > 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(low))
