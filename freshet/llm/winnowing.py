@@ -1,14 +1,17 @@
 """Repeated runs of lines, found by winnowing and deleted but for their first occurrence.
 
-Lines with a word are hashed (words joined by one blank).  A gram is the shortest run of lines from one on that holds
-``WORDS`` words; a window is ``SPAN`` grams in a row, or one where the gram has no more than two lines, and the smallest
-gram hash of every window is a fingerprint.  A repeated run therefore shares a fingerprint with its first occurrence if
-one or two of its lines hold fifty words, or if it holds fifty words in more lines and one line besides.  Occurrences are joined with the
-first one only (in order of id, then position), matches are extended line by line both ways, and later runs go.
-Every deleted line has an equal line earlier in the order, the first of which always stays.
+Lines with a word are hashed (words joined by one blank).  A passage is a run of lines that holds ``WORDS`` words and
+would not without its first line, or without its last.  A gram is the shortest run of lines from one on that holds
+``GRAM`` words, and the smallest gram hash inside a passage is its fingerprint, which hangs on nothing but the passage;
+so equal passages share a fingerprint, and those whose fingerprint occurs once in all documents are left out.  The
+others are compared as wholes: of equal passages the first (in order of id, then position) stays and later ones go.
 
-Pairs are linear in occurrences: a passage in a third of all documents gives each of them one partner, the join may be
-split by adaptive execution, and of the partner only as many lines travel as the document itself has.
+Each line of a repeated run of ``WORDS`` words lies in a passage inside the run, wherever the run stood before; so just
+the lines of such runs go, and different parts of a run may have stood in different documents.  Every deleted line has
+an equal line earlier in the order, the first of which always stays.
+
+Rows are linear in lines: a passage in a third of all documents gives each of them one row, and the joins may be split
+by adaptive execution.
 
 Defined cases: null texts stay null; lines without a word are deleted only inside a deleted run; rows alike in id and
 text are one document and get the same result; a null id comes last in the order; empty tables give empty results.
@@ -16,6 +19,8 @@ text are one document and get the same result; a null id comes last in the order
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_values, checkpointed, map_rows, numbered
 
-WORDS, SPAN, BROADCAST_ROWS = 50, 2, 100_000
+WORDS, GRAM, BROADCAST_ROWS = 50, 25, 100_000
 
 
 def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
@@ -39,59 +44,61 @@ def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
     return index, hashes, words
 
 
-def selected(hashes: list[int], words: list[int], least: int = WORDS) -> list[tuple[int, int]]:
-    """(position, gram hash) of the window minima."""
-    raw = np.array(hashes, dtype=np.int64).tobytes()
-    grams, sizes, end, held = [], [], 0, 0
-    for k in range(len(words)):
+def ends(words: list[int], least: int) -> list[int]:
+    """By line, where the shortest run from it on that holds ``least`` words ends; lines without one have no entry."""
+    out, end, held = [], 0, 0
+    for own in words:
         while end < len(words) and held < least:
             held += words[end]
             end += 1
         if held < least:
             break
-        grams.append(xxhash.xxh64_intdigest(raw[8 * k : 8 * end]) - (1 << 63))
-        sizes.append(end - k)
-        held -= words[k]
-    chosen = {min(range(k, min(k + (SPAN if sizes[k] > 2 else 1), len(grams))), key=grams.__getitem__) for k in range(len(grams))}
-    return [(k, grams[k]) for k in sorted(chosen)]
-
+        out.append(end)
+        held -= own
+    return out
 
-def extended(own: list[int], other: list[int], at: int, there: int) -> tuple[int, int]:
-    """The run [start, end) of ``own`` around ``at`` that equals ``other`` around ``there``."""
-    start, end = at, at
-    while start > 0 and there - (at - start) > 0 and own[start - 1] == other[there - (at - start) - 1]:
-        start -= 1
-    while end < len(own) and there + (end - at) < len(other) and own[end] == other[there + (end - at)]:
-        end += 1
-    return start, end
 
-
-def _lines(batches):
+def passages(hashes: list[int], words: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, hash, fingerprint, its line) of each passage."""
+    raw = np.array(hashes, dtype=np.int64).tobytes()
+    until = ends(words, GRAM)
+    grams = [xxhash.xxh64_intdigest(raw[8 * k : 8 * end]) - (1 << 63) for k, end in enumerate(until)]
+    n = len(words)
+    both = {*enumerate(ends(words, WORDS)), *((n - end, n - k) for k, end in enumerate(ends(words[::-1], WORDS)))}
+    out = []
+    for start, end in sorted(both):
+        at = min(range(start, bisect.bisect_right(until, end)), key=grams.__getitem__)
+        out.append((start, end, xxhash.xxh64_intdigest(raw[8 * start : 8 * end], 1) - (1 << 63), grams[at], at))
+    return out
+
+
+def merged(runs: list[tuple[int, int]]) -> list[dict]:
+    out: list[dict] = []
+    for start, end in sorted(runs):
+        if out and start <= out[-1]["finish"]:
+            out[-1]["finish"] = max(end, out[-1]["finish"])
+        else:
+            out.append({"start": start, "finish": end})
+    return out
+
+
+def _passages(batches):
     for batch in batches:
-        hashes, positions, grams = [], [], []
+        sizes, flat = [0], []
         for text in binary_values(batch.column(2)):
             _, h, w = line_keys(text or b"")
-            picks = selected(h, w)
-            hashes.append(h)
-            positions.append([p for p, _ in picks])
-            grams.append([g for _, g in picks])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(positions, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["id", "hash", "lines", "positions", "grams"]
-        )
+            flat += passages(h, w)
+            sizes.append(len(flat))
+        table = np.array(flat, dtype=np.int64).reshape(-1, 5)
+        kinds = {"start": pa.int32(), "finish": pa.int32(), "run": pa.int64(), "mark": pa.int64(), "at": pa.int32()}
+        found = pa.StructArray.from_arrays([pa.array(table[:, k]).cast(t) for k, t in enumerate(kinds.values())], names=list(kinds))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), found)], names=["id", "hash", "passages"])
 
 
 def _runs(batches):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("finish", pa.int32())]))
     for batch in batches:
-        own, other, at, shift = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
-        out = []
-        for mine, theirs, places, start in zip(own, other, at, shift, strict=True):
-            runs, end = [], -1
-            for p in sorted(places):
-                if p >= end:  # else inside the run before
-                    a, end = extended(mine, theirs, p, p - start)
-                    runs.append({"start": a, "finish": end})
-            out.append(runs)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("finish", pa.int32())]))
+        out = [merged([(r["start"], r["finish"]) for r in runs]) for runs in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["id", "hash", "runs"])
 
 
@@ -102,26 +109,19 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    base = map_rows(picked, _lines, f"id {kind}, hash bigint, lines array<bigint>, positions array<int>, grams array<bigint>").dropDuplicates(["id", "hash"])
-    base = checkpointed(base.withColumn("doc", F.monotonically_increasing_id()))
-    each = base.select("id", "hash", "doc", F.explode(F.arrays_zip("positions", "grams")).alias("x")).select(
-        F.struct(F.col("id").isNull().alias("none"), "id", "hash", F.col("x.positions").alias("position"), "doc").alias("place"), F.col("x.grams").alias("gram")
-    )
-    first = each.groupBy("gram").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first")
-    later = each.join(first, "gram").where("place.doc <> first.doc OR place.position <> first.position")
-    pairs = later.select(F.col("place.doc").alias("doc"), F.col("first.doc").alias("source"), F.col("place.position").alias("position"), (F.col("place.position") - F.col("first.position")).alias("shift"))
-    pairs = pairs.groupBy("doc", "source", "shift").agg(F.collect_list("position").alias("at"))
-    mine = base.where(F.size("grams") > 0).select(F.col("doc").alias("d"), "id", "hash", "lines")
-    sized = pairs.join(mine.select("d", "id", "hash", F.size("lines").alias("size")), F.col("doc") == F.col("d")).drop("d")
-    theirs = mine.select(F.col("d").alias("s"), F.col("lines").alias("all"))
-    # of the partner, what lies beside the document on this diagonal
-    low = F.greatest(-F.col("shift"), F.lit(0))
-    side = sized.join(theirs, F.col("source") == F.col("s")).select(
-        "doc", "at", F.slice("all", low + 1, F.greatest(F.least(F.size("all"), F.col("size") - F.col("shift")) - low, F.lit(0))).alias("other"), (F.col("shift") + low).alias("shift")
+    base = map_rows(picked, _passages, f"id {kind}, hash bigint, passages array<struct<start:int,finish:int,run:bigint,mark:bigint,at:int>>").dropDuplicates(["id", "hash"])
+    base = checkpointed(base.where(F.size("passages") > 0).withColumn("doc", F.monotonically_increasing_id()))
+    each = base.select("id", "doc", F.explode("passages").alias("x")).select(
+        F.struct(F.col("id").isNull().alias("none"), "id", F.col("x.start").alias("start"), "doc", F.col("x.finish").alias("finish")).alias("place"), F.col("x.run").alias("run"), F.col("x.mark").alias("mark")
     )
-    both = side.join(mine, F.col("doc") == F.col("d")).select("id", "hash", "lines", "other", "at", "shift")
-    found = map_rows(both, _runs, f"id {kind}, hash bigint, runs array<struct<start:int,finish:int>>")
-    return found.groupBy("id", "hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    marks = base.select("doc", F.explode(F.array_distinct(F.transform("passages", lambda p: F.struct(p["mark"].alias("mark"), p["at"].alias("at"))))).alias("x"))
+    marks = marks.groupBy("x.mark").count().where("count > 1").select("mark")
+    each = each.join(marks, "mark", "left_semi")
+    first = each.groupBy("run", "mark").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "mark", "first")
+    later = each.join(first, ["run", "mark"]).where("place.doc <> first.doc OR place.start <> first.start")
+    mine = later.groupBy(F.col("place.doc").alias("d")).agg(F.collect_list(F.struct("place.start", "place.finish")).alias("runs"))
+    both = base.select("id", "hash", "doc").join(mine, F.col("doc") == F.col("d")).select("id", "hash", "runs")
+    return map_rows(both, _runs, f"id {kind}, hash bigint, runs array<struct<start:int,finish:int>>")
 
 
 def without_runs(text: str, runs: list) -> tuple[str, int, int]:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from fixtures import messy_documents, prose, SCHEMAS
 
 from freshet.llm import winnowing
@@ -79,3 +80,40 @@ def test_messy_documents_and_order(spark):
     assert [r["text"] for r in rows if r["doc_id"] == 9] == [prose(5, 70)]
     kept = winnowing.keep_first_lines(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 0
+
+
+@pytest.mark.parametrize("shape", [(20,) * 3, (15,) * 4, (11,) * 5, (8,) * 7, (6,) * 10, (30, 30), (60,)])
+def test_every_shape_of_passage_is_found_beside_any_lines(spark, shape):
+    texts = []
+    for k in range(40):
+        passage = "\n".join(prose(1000 * k + j, n) for j, n in enumerate(shape))
+        beside = [prose(10**6 + 10 * k + j, 60 if k % 2 else 5) for j in range(4)]
+        texts += [f"{beside[0]}\n{passage}\n{beside[1]}", f"{beside[2]}\n{passage}\n{beside[3]}"]
+    got = deleted(spark, texts)
+    assert [got[k][1] for k in range(80)] == [0, len(shape)] * 40
+
+
+def test_just_the_lines_of_repeated_runs_go(spark):
+    """Both ways of brute force; runs of whose parts the first occurrences are in different documents."""
+    pick = random.Random(7)
+    pool = [prose(100 + k, pick.choice([6, 20, 30, 60])) for k in range(12)]
+    texts = ["\n".join(pick.choice(pool) if pick.random() < 0.8 else prose(5000 + 20 * k + j, 12) for j in range(9)) for k in range(60)]
+    got = deleted(spark, texts)
+    back = exact_both(texts)
+    assert any(back)
+    assert [got[k][1] for k in range(60)] == [len(m) for m in back]
+
+
+def exact_both(texts, least=50):
+    """``exact`` over every run of lines that holds the words."""
+    seen, must = set(), []
+    for text in texts:
+        _, hashes, words = winnowing.line_keys(text.encode())
+        own = set()
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if sum(words[a:b]) >= least:
+                    own.update(range(a, b) if tuple(hashes[a:b]) in seen else ())
+                    seen.add(tuple(hashes[a:b]))
+        must.append(own)
+    return must
