@@ -117,3 +117,11 @@ def exact_both(texts, least=50):
                     seen.add(tuple(hashes[a:b]))
         must.append(own)
     return must
+
+
+def test_a_later_occurrence_may_hold_more(spark):
+    """A holds P; B and C hold P and Q: all of C goes, as it stands in B."""
+    p, q = prose(1, 60), prose(2, 20) + "\n" + prose(3, 20)
+    got = deleted(spark, [f"{p}\n{prose(4, 30)}", f"{prose(5, 30)}\n{p}\n{q}", f"{prose(6, 30)}\n{p}\n{q}\n{prose(7, 30)}"])
+    assert got[1] == (f"{prose(5, 30)}\n{q}", 1)
+    assert got[2] == (f"{prose(6, 30)}\n{prose(7, 30)}", 3)
