@@ -60,9 +60,9 @@ RULES = [
     ("GPL-3.0-or-later", ["GplFree3a", "GplFree3b", "GplWarranty"]), ("GPL-3.0-or-later", ["GplFree3a", "GplFree3b"]), ("GPL-3.0-or-later", ["GplFree3"]), ("GPL-2.0-or-later", ["GplFree3a", "GplFree2b"]),
     ("GPL-3.0-only", ["GplRef3"]), ("GPL-2.0-only", ["GplRef2"]), ("MPL-2.0", ["MplRef2"]), ("CC-BY-NC-4.0", ["CcByNc4"]), ("CC-BY-SA-4.0", ["CcBySa4"]), ("CC-BY-4.0", ["CcBy4"]), ("Proprietary", ["AllRights"]),
 ]
-_SIGNS = "licen[sc]|rights reserved|permission|warrant|redistribut|free software|copyright|creative commons|software is provided|version 2 of|you may obtain"
-_SIGN = re.compile(_SIGNS)
-assert all(_SIGN.search(s) for s in SENTENCES), "every known sentence holds a sign"
+#: Inside single words only, which raw texts hold unchanged however they are spaced and punctuated.
+_SIGNS = "licen[sc]|reserved|permission|warrant|redistribut|software|copyright"
+assert all(re.search(_SIGNS, s) for s in SENTENCES), "every known sentence holds a sign"
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,3 +54,11 @@ def test_every_known_sentence_is_found_alone(spark):
     got = {r["id"]: r["sentence_ids"] for r in licenses.licences(docs).collect()}
     wrong = [(sentences[k], v) for k, v in got.items() if v != licenses.SENTENCES[sentences[k]]]
     assert not wrong
+
+
+def test_blanks_and_marks_between_words_do_not_matter(spark):
+    blanks = ["  ", "\t", "\u00a0", ", ", " -- "]
+    docs = [(k, f"Before it.\nAll{b}rights{b}reserved.\nAfter it.") for k, b in enumerate(blanks)]
+    docs += [(10 + k, f"Before it.\nThis{b}program{b}is{b}free{b}software.\nAfter it.") for k, b in enumerate(blanks)]
+    got = {r["id"]: r["sentence_ids"] for r in licenses.licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: "AllRights" if k < 10 else "GplFree3a" for k, _ in docs}
