@@ -1,13 +1,17 @@
 """The engine: statements in, DataFrames out.
 
-A stream is a lazy DataFrame built once from its operators, over static topics or streaming ones alike; what it stores is
+A stream is a lazy DataFrame built from its operators, over static topics or streaming ones alike; what it stores is
 the same plan (appended rows, the latest row of each key, or groups).  ``execute`` takes one statement and returns a
 DataFrame for queries, ``list`` and ``show``.
+
+Numbering the rows of a static stored stream needs them materialised, so it waits until a statement names ``offset`` or a
+query gives all columns; until then the column is a place holder and the stream ``pending``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +30,40 @@ from .types import conform, kind_of
 WATERMARK_LATENESS = 1000
 
 
+#: The window's start where a streaming aggregate needs it to tell its rows apart but doesn't give it.
+HIDDEN = "__ws"
+
+
 @dataclass
 class Stream:
     name: str
     text: str
-    df: DataFrame
+    plan: DataFrame
     stored: str | None = None  # "stream" or "table"
     keys: list[str] = field(default_factory=list)
     parents: list[str] = field(default_factory=list)
     lateness: int = WATERMARK_LATENESS
-    #: (topic, options) where the last operator sends its rows on
-    sink: tuple[str, dict] | None = None
+    #: (operator, topic, options) where the last operator sends its rows on
+    sink: tuple[str, str, dict] | None = None
     retention: int | None = None
     aggregated: bool = False
+    #: How far (ms of event time) the stream may fall behind the other side of a join before that goes on without it.
+    idle: int | None = None
+    pending: bool = False
+    #: The plan with offsets in place of the place holder.
+    number: Callable[[], DataFrame] | None = None
+
+    @property
+    def df(self) -> DataFrame:
+        """All rows, with their offsets."""
+        if self.pending:
+            self.plan, self.pending = self.number(), False
+        return self.plan
+
+    @property
+    def key(self) -> list[str]:
+        """What tells the rows of the stored table apart."""
+        return [c for c in (HIDDEN,) if c in self.plan.columns] + self.keys
 
     @property
     def is_table(self) -> bool:
@@ -54,6 +79,9 @@ class Engine:
         self.topics: dict[str, DataFrame] = {}
         self.modules = Modules()
         self.settings: dict[str, int] = {}
+        #: Called with the name of each stream that is deleted.
+        self.deleted: list[Callable[[str], None]] = []
+        self._exact = True
 
     # ------------------------------------------------------------ catalog
 
@@ -85,7 +113,7 @@ class Engine:
 
     def catalog(self) -> DataFrame:
         """sys.streams: name, statement, kind, key and columns of every stream."""
-        rows_ = [(s.name, s.text, s.stored or "", ",".join(s.keys), ", ".join(f"{f.name}: {kind_of(f.dataType)}" for f in s.df.schema)) for s in self.streams.values()]
+        rows_ = [(s.name, s.text, s.stored or "", ",".join(s.keys), ", ".join(f"{f.name}: {kind_of(f.dataType)}" for f in s.plan.schema if f.name != HIDDEN)) for s in self.streams.values()]
         return self.spark.createDataFrame(rows_, "stream_name string, stream_def string, stored_as string, key_columns string, out_schema string")
 
     # ------------------------------------------------------------ statements
@@ -131,6 +159,8 @@ class Engine:
         children = [s.name for s in self.streams.values() if name in s.parents]
         if children:
             raise StatementError(f"stream {name!r} has children: {', '.join(children)}")
+        for told in self.deleted:
+            told(name)
         del self.streams[name]
 
     # ------------------------------------------------------------ streams
@@ -143,32 +173,55 @@ class Engine:
             args = dict(ops[0].args)
             retention = {"retention": args.pop("retention")} if "retention" in args else {}
             ops = (A.Operator("kafka in", args, ops[0].at), A.Operator("kafka out", retention, ops[0].at))
-        stream = Stream(statement.name, statement.text, None)
-        for op in ops:
-            getattr(self, "_op_" + op.name.replace(" ", "_"))(stream, op, statement.text)
+        stream = self._built(A.CreateStream(statement.name, ops, statement.text), names_offset(statement.text))
         self.streams[stream.name] = stream
         return stream
 
+    def _built(self, statement: A.CreateStream, exact: bool) -> Stream:
+        """The stream of a statement, over parents with offsets if ``exact`` and with place holders otherwise."""
+        stream = Stream(statement.name, statement.text, None)
+        before, self._exact = self._exact, exact
+        try:
+            for op in statement.operators:
+                getattr(self, "_op_" + op.name.replace(" ", "_"))(stream, op, statement.text)
+        finally:
+            self._exact = before
+        stream.pending = stream.pending and "offset" in stream.plan.columns
+        stream.number = lambda: self._built(statement, True).plan
+        return stream
+
+    def _input(self, parent: Stream) -> DataFrame:
+        return (parent.df if self._exact else parent.plan).drop(HIDDEN)
+
+    def _numbered(self, stream: Stream) -> None:
+        if "offset" not in stream.plan.columns:
+            stream.pending = not self._exact
+            stream.plan = tables.with_offset(stream.plan) if self._exact else stream.plan.select(F.lit(None).cast("bigint").alias("offset"), "*")
+
     def _source(self, stream, op, topic):
         stream.lateness = op.args.get("watermark_lateness", WATERMARK_LATENESS)
         if topic in self.topics:
             df = self.topics[topic]
         else:
             df = topics.kafka_source(self.spark, topic, op.args.get("props", {}), op.args.get("max_poll_messages"))
+        stream.idle = op.args.get("watermark_idle_timeout")
         if op.args.get("watermark_type") == "processing_time":
+            if stream.idle is not None:
+                raise StatementError("a watermark of processing time has no idle timeout")
             df = df.withColumn("event_time", F.current_timestamp())
-        stream.df = df
+        stream.plan = df
 
     def _op_bridge_from(self, stream, op, text):
         self._source(stream, op, op.args["topic"])
 
     def _op_kafka_in(self, stream, op, text):
         self._source(stream, op, stream.name)
-        stream.df = topics.normal_values(topics.without_resent(stream.df))
+        stream.plan = topics.normal_values(topics.without_resent(stream.plan))
 
     def _op_continuation(self, stream, op, text):
         parent = self.stream(op.args["parent"])
-        stream.parents, stream.lateness, stream.df = [parent.name], parent.lateness, parent.df
+        stream.parents, stream.lateness, stream.idle = [parent.name], parent.lateness, parent.idle
+        stream.plan, stream.pending = self._input(parent), parent.pending and not self._exact
 
     def _op_backfill(self, stream, op, text):
         if self.stream(stream.parents[0]).stored != "stream":
@@ -176,18 +229,20 @@ class Engine:
         # the parent's plan starts at the first row; a checkpoint remembers how far a run came
 
     def _op_filter(self, stream, op, text):
-        stream.df = rows.filter_rows(stream.df, op.args["expr"], self.modules, text)
+        stream.plan = rows.filter_rows(stream.plan, op.args["expr"], self.modules, text)
 
     def _op_project(self, stream, op, text):
-        stream.df = rows.project(stream.df, op.args["items"], True, self.modules, text)
+        stream.plan = rows.project(stream.plan, op.args["items"], True, self.modules, text)
 
     def _op_partition(self, stream, op, text):
-        stream.df = rows.partition(stream.df, op.args["by"], op.args.get("partitions"), op.args.get("const", False))
+        stream.plan = rows.partition(stream.plan, op.args["by"], op.args.get("partitions"), op.args.get("const", False))
 
     def _op_union(self, stream, op, text):
         inputs = [self.stream(n) for n in op.args["inputs"]]
         stream.parents, stream.lateness = [s.name for s in inputs], max(s.lateness for s in inputs)
-        stream.df = rows.union([s.df for s in inputs])
+        if all(s.idle is not None for s in inputs):
+            stream.idle = max(s.idle for s in inputs)
+        stream.plan = rows.union([self._input(s) for s in inputs])
 
     def _op_join(self, stream, op, text):
         a = op.args
@@ -203,21 +258,25 @@ class Engine:
             if "within" in a or "retention" in a:
                 raise StatementError("a join with a table takes neither 'within' nor 'retention'", text, op.at)
             table = left if a["left_table"] else right
-            stream.df = joins.table_join(left.df, right.df, a["keys"], "left" if a["left_table"] else "right", a["how"], table.keys)
+            stream.plan = joins.table_join(self._input(left), self._input(right), a["keys"], "left" if a["left_table"] else "right", a["how"], table.keys)
             return
         if "within" not in a:
             raise StatementError("a join of two streams needs 'within'", text, op.at)
-        l_df, r_df = (s.df.withWatermark("event_time", f"{s.lateness} milliseconds") if s.df.isStreaming else s.df for s in (left, right))
-        stream.df = joins.stream_join(l_df, r_df, a["keys"], a["within"], a["how"])
+        l_df, r_df = self._input(left), self._input(right)
+        if l_df.isStreaming and r_df.isStreaming:
+            l_df, r_df = (joins.watermarked(df, s.lateness, s.idle, other) for df, s, other in ((l_df, left, r_df), (r_df, right, l_df)))
+        stream.plan = joins.stream_join(l_df, r_df, a["keys"], a["within"], a["how"])
 
     def _op_aggregate(self, stream, op, text):
         a = op.args
-        df, lateness = stream.df, a.get("lateness", 0)
+        df, lateness = stream.plan, a.get("lateness", 0)
         windowed = "size" in a
         if df.isStreaming and windowed:
             df = df.withWatermark("event_time", f"{stream.lateness + lateness} milliseconds")
-        stream.df = aggregate.aggregate(
-            df, a["items"], a["by"], a.get("size"), a.get("hop"), lateness, a.get("window_cols", False), self.final_watermark, self.identity_nulls, self.modules, text
+        shown = a.get("window_cols", False)
+        hidden = HIDDEN if df.isStreaming and not shown else None
+        stream.plan = aggregate.aggregate(
+            df, a["items"], a["by"], a.get("size"), a.get("hop"), lateness, shown, self.final_watermark, self.identity_nulls, self.modules, text, hidden
         )
         stream.aggregated = not windowed
         if a.get("store", True):
@@ -227,39 +286,43 @@ class Engine:
 
     def _op_store_stream(self, stream, op, text):
         stream.stored, stream.retention = "stream", op.args.get("retention")
-        if not stream.df.isStreaming:
-            stream.df = tables.retained(stream.df, stream.retention)
-            if "offset" not in stream.df.columns and "event_time" in stream.df.columns:
-                stream.df = tables.with_offset(stream.df)
+        if not stream.plan.isStreaming:
+            stream.plan = tables.retained(stream.plan, stream.retention)
+            if "event_time" in stream.plan.columns:
+                self._numbered(stream)
 
     def _op_store_table(self, stream, op, text):
         stream.stored, stream.keys, stream.retention = "table", op.args["by"], op.args.get("retention")
-        missing = [k for k in stream.keys if k not in stream.df.columns]
+        missing = [k for k in stream.keys if k not in stream.plan.columns]
         if missing:
             raise StatementError(f"unknown key column {missing[0]!r}", text, op.at)
-        if stream.df.isStreaming:
-            stream.df = stream.df.drop("offset")
+        if stream.plan.isStreaming:
+            stream.plan = stream.plan.drop("offset")
         else:
-            stream.df = tables.latest_by_key(tables.retained(stream.df, stream.retention), stream.keys)
+            plan = stream.plan.drop("offset") if stream.pending else stream.plan
+            stream.plan = tables.latest_by_key(tables.retained(plan, stream.retention), stream.keys)
 
     def _op_kafka_out(self, stream, op, text):
-        topics.check_topic_schema(stream.df)
-        stream.stored, stream.retention, stream.sink = "stream", op.args.get("retention"), (stream.name, {})
-        if not stream.df.isStreaming:
-            stream.df = tables.retained(tables.with_offset(stream.df), stream.retention)
+        topics.check_topic_schema(stream.plan)
+        stream.stored, stream.retention, stream.sink = "stream", op.args.get("retention"), ("kafka out", stream.name, {})
+        if not stream.plan.isStreaming:
+            stream.plan = tables.retained(stream.plan, stream.retention)
+            self._numbered(stream)
 
     def _op_bridge_to(self, stream, op, text):
-        topics.check_topic_schema(stream.df)
-        stream.stored, stream.retention, stream.sink = "stream", op.args.get("retention"), (op.args["topic"], dict(op.args))
+        stream.plan = stream.plan.drop("partition", "producer_id", "seq")
+        topics.check_topic_schema(stream.plan)
+        stream.stored, stream.retention, stream.sink = "stream", op.args.get("retention"), ("bridge to", op.args["topic"], dict(op.args))
 
     # ------------------------------------------------------------ queries
 
     def query(self, query: A.Query, args: dict | None = None) -> DataFrame:
         df = None
+        exact = names_offset(query.text) or not any(op.name == "project" for op in query.operators)
         for op in query.operators:
             a = op.args
             if op.name in ("get", "scan"):
-                df, keys = self._stored(a["from"], query.text, op.at)
+                df, keys = self._stored(a["from"], query.text, op.at, exact)
                 values = lambda exprs, df=df: [rows.analyzer(df, self.modules, query.text, args or {}).typed(x) for x in exprs]
                 if op.name == "get":
                     df = tables.get(df, keys, values(a["keys"]))
@@ -273,13 +336,17 @@ class Engine:
                 df = rows.sort(df, a["items"], self.modules, query.text, args or {})
         return df
 
-    def _stored(self, name: str, text: str, at: int) -> tuple[DataFrame, list[str]]:
+    def _stored(self, name: str, text: str, at: int, exact: bool = True) -> tuple[DataFrame, list[str]]:
         if name == "sys.streams":
             return self.catalog(), ["stream_name"]
         stream = self.streams.get(name)
         if stream is None or stream.stored is None:
             raise StatementError(f"{name!r} is no stored stream or table", text, at)
-        return stream.df, stream.keys
+        return (stream.df if exact else stream.plan), stream.keys
+
+
+def names_offset(text: str) -> bool:
+    return any(t.kind == "name" and t.text == "offset" for t in tokens(text))
 
 
 def split_statements(text: str) -> list[str]:

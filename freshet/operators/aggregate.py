@@ -64,12 +64,13 @@ def window_start(size: int, hop: int) -> int:
 
 def aggregate(
     df: DataFrame, items: list[A.Item], by: list[A.Item], size: int | None = None, hop: int | None = None, lateness: int = 0, window_cols: bool = False,
-    final_watermark: int | None = None, identity_nulls: bool = False, modules=None, text: str = "", keep_window: bool = False,
+    final_watermark: int | None = None, identity_nulls: bool = False, modules=None, text: str = "", hidden: str | None = None,
 ) -> DataFrame:
     """One row a group: event_time (the latest), window bounds if asked for, keys, aggregates.
 
     Windows end at multiples of ``hop``.  ``final_watermark`` (ms) leaves out windows that it hasn't closed, as a stream
-    does that has come so far; without one every window that has a row is given.
+    does that has come so far; without one every window that has a row is given.  ``hidden`` names a last column for the
+    window's start.
     """
     typed = analyzer(df, modules, text)
     if (size is None) != (hop is None):
@@ -92,4 +93,4 @@ def aggregate(
     if final_watermark is not None:
         out = out.where(to_millis(F.col("__window.end")) - 1 + lateness <= final_watermark)
     rest = [F.col(f"`{c}`") for c in out.columns if c not in ("__window", "event_time")]
-    return out.select("event_time", *(bounds if window_cols or keep_window else []), *rest)
+    return out.select("event_time", *(bounds if window_cols else []), *rest, *([bounds[0].alias(hidden)] if hidden else []))

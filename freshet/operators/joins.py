@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import StatementError
 from ..types import kind_of, to_millis
@@ -41,6 +42,35 @@ def _equal(keys, null_safe: bool):
     return functools.reduce(lambda x, y: x & y, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
+def _equal_or_null(keys, left: DataFrame):
+    """Null-safe equality out of plain ones, which is all that streaming joins take: is it null, and a value if not."""
+    parts = []
+    for a, b in keys:
+        l, r = F.col(f"`l_{a}`"), F.col(f"`r_{b}`")  # noqa: E741
+        kind = left.schema[f"l_{a}"].dataType
+        none = F.timestamp_millis(F.lit(0)) if isinstance(kind, T.TimestampType) else F.lit(False) if isinstance(kind, T.BooleanType) else F.lit("0").cast(kind)
+        parts += [l.isNull() == r.isNull(), F.coalesce(l, none) == F.coalesce(r, none)]
+    return functools.reduce(lambda x, y: x & y, parts)
+
+
+def watermarked(df: DataFrame, lateness: int, idle: int | None = None, other: DataFrame | None = None) -> DataFrame:
+    """``df`` with its watermark; with ``idle`` (ms) it lags no more than that behind the event times of ``other``.
+
+    The other side's times, less ``idle``, pass the watermark as beats and are left out after it, so a silent source doesn't
+    hold up its neighbour.  This goes by event time: a replay gives what the first run gave.
+    """
+    if idle is not None and other is not None:
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != "event_time"]
+        beats = other.select((F.col("event_time") - F.expr(f"INTERVAL {idle} MILLISECOND")).alias("event_time"), *nulls, F.lit(True).alias("__beat"))
+        df = df.withColumn("__beat", F.lit(False)).unionByName(beats)
+    df = df.withWatermark("event_time", f"{lateness} milliseconds")
+    if "__beat" in df.columns:
+        # both name the event time, so that no filter on a key, and not this one, is moved below the watermark
+        shown = [F.when(F.col("event_time").isNotNull(), F.col(f"`{c}`")).alias(c) if c != "event_time" else F.col(c) for c in df.columns if c != "__beat"]
+        df = df.where(F.when(F.col("__beat"), F.lit(None)).otherwise(F.col("event_time")).isNotNull()).select(*shown)
+    return df
+
+
 def _output(joined: DataFrame, event_time, left_cols, right_cols) -> DataFrame:
     return joined.select(event_time.alias("event_time"), *[F.col(f"`{c}`") for c in left_cols], *[F.col(f"`{c}`") for c in right_cols])
 
@@ -69,7 +99,8 @@ def stream_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     l_side, r_side = _sides(left, right, keys)
     span = F.expr(f"INTERVAL {within} MILLISECOND")
     near = (F.col("r_event_time") >= F.col("l_event_time") - span) & (F.col("r_event_time") <= F.col("l_event_time") + span)
-    on, dropped = _equal(keys, len(keys) > 1 and not streaming) & near, {f"r_{b}" for _, b in keys}
+    same = _equal(keys, len(keys) > 1) if len(keys) == 1 or not streaming else _equal_or_null(keys, l_side)
+    on, dropped = same & near, {f"r_{b}" for _, b in keys}
     if streaming:
         joined = l_side.join(r_side, on, how)
     else:

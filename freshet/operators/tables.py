@@ -3,32 +3,37 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import StatementError
 from ..functions.scalar import Typed
+from ..session import materialised
 from ..types import kind_of, to_millis
 
 
-def with_offset(df: DataFrame, partition: str | None = None, order: tuple[str, ...] = ("event_time",)) -> DataFrame:
-    """Adds an ``offset``, gapless from 0 in each partition, where there is none; it is the first column.
+def with_offset(df: DataFrame, partition: str | None = None, order: tuple[str, ...] = ("event_time",), first: int = 0) -> DataFrame:
+    """Adds an ``offset``, gapless from ``first`` in each partition, where there is none; it is the first column.
 
-    Without a partition column rows are numbered across Spark's partitions, so that no single task sorts all of them: the
-    rows of each are numbered by themselves and shifted by the count of those before.
+    Without a partition column rows are numbered as they lie: the plan is materialised once, so that its partitions hold
+    still, the rows of each are numbered by themselves and shifted by the count of those before.  Nothing is shuffled or
+    sorted, and one number a partition comes to the driver.
     """
     if "offset" in df.columns:
         return df
     if partition is not None:
-        numbered = df.withColumn("offset", F.row_number().over(Window.partitionBy(partition).orderBy(*order)).cast("long") - 1)
+        numbered = df.withColumn("offset", F.row_number().over(Window.partitionBy(partition).orderBy(*order)).cast("long") - 1 + first)
         return numbered.select("offset", *df.columns)
-    ordered = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ordered.groupBy(part.alias("__part")).count()  # a row for each of Spark's partitions
-    before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
-    return ordered.withColumn("__part", part).join(F.broadcast(before), "__part").select((F.col("__before") + inside).alias("offset"), *df.columns)
+    held = materialised(df)
+    sizes = dict(held.groupBy(F.spark_partition_id().alias("part")).count().collect())
+    before = list(itertools.accumulate((sizes.get(k, 0) for k in range(max(sizes, default=0))), initial=first))
+    starts = F.lit(np.array(before, dtype=np.int64))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return held.select((F.get(starts, F.spark_partition_id()) + inside).alias("offset"), *df.columns)
 
 
 def latest_by_key(df: DataFrame, keys: list[str], arrival: list[str | Column] | None = None) -> DataFrame:
@@ -40,19 +45,23 @@ def latest_by_key(df: DataFrame, keys: list[str], arrival: list[str | Column] |
     if missing:
         raise StatementError(f"unknown key column {missing[0]!r}")
     kept = [c for c in df.columns if c != "offset"]
-    order = arrival or [c for c in ("event_time", "offset") if c in df.columns] or kept
+    order = arrival or [c for c in ("event_time", "offset") if c in df.columns]
+    if not arrival and "offset" not in order:  # rows of one time tell no order; the greatest one stays, whichever way they lie
+        order += [c for c in kept if c not in order]
     row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in kept]), F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])).alias("__row")
     grouped = df.groupBy(*[F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)]) if keys else df.groupBy()
     return grouped.agg(row).where("__row IS NOT NULL").select(*[F.col(f"__row.`{c}`").alias(c) for c in kept])
 
 
 def compact(df: DataFrame, key: str = "key", partition: list[str] | None = None, offset: str = "offset") -> DataFrame:
-    """The record of each key with the highest offset, and every record without a key."""
-    groups = [*(partition or []), key]
-    last = df.where(F.col(key).isNotNull()).groupBy(*groups).agg(F.max(offset).alias("__last"))
-    columns = df.columns
-    marked = df.join(last, groups, "left")
-    return marked.where(F.col(key).isNull() | (F.col(offset) >= F.col("__last"))).select(*columns)
+    """The record of each key with the highest offset, and every record without a key.
+
+    Keyed records are aggregated with partial results before the shuffle; those without a key aren't moved.
+    """
+    groups = [F.col(f"`{c}`").alias(f"__k{n}") for n, c in enumerate([*(partition or []), key])]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    last = df.where(F.col(key).isNotNull()).groupBy(*groups).agg(F.max_by(row, F.col(offset)).alias("__row"))
+    return last.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns]).unionByName(df.where(F.col(key).isNull()))
 
 
 def delete_rows(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,9 +106,9 @@ def scan_range(df: DataFrame, keys: list[str], low: list[Typed] | None, high: li
             continue
         _prefix(df, keys, bound, "scan")
         df = df.where(_beyond(list(zip(keys, bound, strict=False)), incl, way))
-        first = bound[0]
-        if way > 0 and first.const is not None:
-            df = df.where(F.col(f"`{keys[0]}`") >= first.col)
+        first, column = bound[0], F.col(f"`{keys[0]}`")
+        if first.const is not None:
+            df = df.where(column >= first.col if way > 0 else column.isNull() | (column <= first.col))
     return df
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in (SETTINGS | STREAMING).items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate results go: the session's ``spark.checkpoint.dir``, and a temporary folder only for a local master."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            where = tempfile.mkdtemp(prefix="freshet-")
+        context.setCheckpointDir(where)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in partitions that stay as they are, in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,25 @@ def sink_options(topic: str, args: dict) -> dict[str, str]:
     return out | {f"kafka.{n}": str(args[a]) for a, n in names.items() if a in args}
 
 
+def send(rows: DataFrame, options: dict[str, str]) -> None:
+    """The rows of a batch as records of a topic, with their headers."""
+    records = rows.select("key", F.col("val").alias("value"), rowwise.header_list("hdrs").alias("headers"))
+    records.write.format("kafka").options(**options).option("includeHeaders", "true").save()
+
+
+def sent(send, rows: DataFrame, options: dict[str, str], delay: int, longest: int, tries: int = 10) -> None:
+    """Sends until it succeeds, waiting ``delay`` ms and a quarter more each time; the last failure is raised, and ends the
+    query, whose checkpoint has the batch sent once more when it starts again."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return send(rows, options)
+        except Exception:
+            if not left:
+                raise
+            time.sleep(min(delay, longest) / 1000)
+            delay *= 1.25
+
+
 def check_topic_schema(df: DataFrame) -> None:
     found = {f.name: f.dataType.simpleString() for f in df.schema if f.name in COLUMNS}
     if [c for c in df.columns if c != "offset"] != ["event_time", "key", "hdrs", "val"] or any(found[c] != COLUMNS[c] for c in found):

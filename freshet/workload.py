@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .operators import tables
-from .session import prepare
+from .session import prepare, shared_folder
 from .sources import results, topics
 from .streaming.runtime import Folder, Runtime
 
@@ -254,12 +254,7 @@ def result_json_lines(spark, sf_dir):
 
 
 def _stream_root(spark) -> str:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="freshet-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/streams-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark, sf_dir):

@@ -1,10 +1,14 @@
+import time
+
 import pytest
 from helpers import ms, rows_of
 
 from freshet.engine import Engine
+from freshet.errors import StatementError
+from freshet.functions import rowwise
 from freshet.sources import topics
 from freshet.streaming import stateful
-from freshet.streaming.runtime import KeyedTable, Runtime
+from freshet.streaming.runtime import KeyedTable, Runtime, StoredRows
 
 COLUMNS = "partition int, offset bigint, event_time timestamp, key binary, hdrs binary, val binary"
 
@@ -38,7 +42,7 @@ def test_windows_and_tables_over_batches(spark, tmp_path):
 
 def test_keyed_table_survives_a_repeated_batch(spark, tmp_path):
     schema = spark.createDataFrame([], "event_time timestamp, k long, v string").schema
-    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], schema, buckets=4)
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], schema)
     rows = lambda *r: spark.createDataFrame([(ms(t), k, v) for t, k, v in r], schema)
     table.upsert(rows((1, 1, "a"), (2, 1, "b"), (1, None, "n")), 0, ["event_time"])
     table.upsert(rows((3, 2, "c"), (3, None, "m")), 1, ["event_time"])
@@ -88,3 +92,155 @@ def test_late_records_go_one_by_one(spark):
     rows = [(0, 50), (0, 105), (1, 101), (1, 106), (2, 90), (2, 130)]
     df = spark.createDataFrame([(b, ms(t), t) for b, t in rows], "batch long, event_time timestamp, t long")
     assert sorted(r["t"] for r in stateful.record_late_windows(df, 0).collect()) == [50, 105, 106, 130]
+
+
+def topic_engine(spark, path):
+    e = Engine(spark)
+    e.bind_topic("t", topics.file_topic(spark, str(path)))
+    return e
+
+
+def test_windows_without_their_columns_stay_apart(spark, tmp_path):
+    put(spark, tmp_path / "in", 0, [(1000, "a", '{"v":1}'), (3000, "a", '{"v":2}'), (5000, "a", '{"v":4}'), (60_000, "a", '{"v":8}')])
+    e = topic_engine(spark, tmp_path / "in")
+    e.execute('w := (bridge from t partitions=1) -> (project to_string(key) as k, json_int("v", val) as v) -> (aggregate sum(v) as s by k size=2s hop=2s)')
+    runtime = Runtime(e, str(tmp_path / "out"))
+    assert rows_of(runtime.snapshot().execute("(scan all from w)")) == []
+    runtime.run("w")
+    assert rows_of(runtime.snapshot().execute("(get \"a\" from w)"), "event_time", "k", "s") == [(1000, "a", 1), (3000, "a", 2), (5000, "a", 4)]
+    assert runtime.snapshot().execute("(scan all from w)").columns == ["event_time", "k", "s"]
+
+
+@pytest.mark.parametrize("how", ["=", "*="])
+def test_null_keys_meet_in_streams_as_in_tables(spark, tmp_path, how):
+    for folder in "lr":
+        put(spark, tmp_path / folder, 0, [(1000 + k, "x", "{}") for k in range(2)] + [(90_000, "z", "{}")])
+    both = []
+    for streaming in (False, True):
+        e = Engine(spark)
+        for folder in "lr":
+            rows = topics.file_topic(spark, str(tmp_path / folder)) if streaming else spark.read.parquet(str(tmp_path / folder))
+            e.bind_topic(folder + "t", rows)
+            e.execute(f'{folder} := (bridge from {folder}t partitions=1) -> (project to_string(key) as k, json_int("none", val) as n, event_time as t) -> (store stream)')
+        e.execute(f"j := (join l with r by k {how} k, n {how} n within 5s) -> (store stream)")
+        runtime = Runtime(e, str(tmp_path / f"out{streaming}"))
+        if streaming:
+            runtime.run("j")
+        both.append(rows_of(runtime.read("j") if streaming else e.execute("(scan all from j)"), "event_time", "l_t", "r_t"))
+    assert both[0] == both[1] and len(both[0]) == 5
+
+
+def test_sinks_send_what_they_store(spark, tmp_path):
+    put(spark, tmp_path / "in", 0, [(1000, "a", "1"), (2000, "b", "2")])
+    sent, down = [], [True]
+
+    def send(rows, options):
+        if down.pop() if down else False:
+            raise OSError("not there yet")
+        shown = rows.select("key", "val", rowwise.header_list("hdrs").alias("h")).collect()
+        sent.append((options["topic"], options["kafka.bootstrap.servers"], sorted((bytes(r["key"]), bytes(r["val"]), [(h["key"], bytes(h["value"])) for h in r["h"] or []]) for r in shown)))
+
+    e = topic_engine(spark, tmp_path / "in")
+    e.execute('h := (bridge from t partitions=1) -> (project key as key, kafka_build_headers("n", key) as hdrs, val as val) -> (bridge to dest props = ("bootstrap.servers" = "broker:9092") initial_retry_delay = 1ms)')
+    e.execute("plain := (bridge from t partitions=1) -> (bridge to none)")
+    e.bind_topic("o", topics.file_topic(spark, str(tmp_path / "in")))
+    e.execute("o := (topic partitions=1)")
+    runtime = Runtime(e, str(tmp_path / "out"), {"bootstrap.servers": "own:1"}, send)
+    runtime.run("h")
+    runtime.run("o")
+    headed = [(b"a", b"1", [("n", b"a")]), (b"b", b"2", [("n", b"b")])]
+    assert sent == [("dest", "broker:9092", headed), ("o", "own:1", [(k, v, []) for k, v, _ in headed])]
+    assert rows_of(runtime.read("h"), "key", "val") == rows_of(runtime.read("o"), "key", "val") == [(b"a", b"1"), (b"b", b"2")]
+    with pytest.raises(StatementError, match="bootstrap.servers"):
+        runtime.start("plain")
+
+
+def test_appended_rows_get_gapless_offsets(spark, tmp_path):
+    schema = spark.createDataFrame([], "offset long, v long").schema
+    rows = StoredRows(spark, str(tmp_path / "r"), schema)
+    for number, values in enumerate(([1, 2, 3], [], [4, 5])):
+        batch = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+        rows.append(batch, number)
+        rows.append(batch, number)
+    assert [r[0] for r in rows_of(rows.read(), "offset", "v")] == [0, 1, 2, 3, 4]
+    assert sorted(v for _, v in rows_of(rows.read(), "offset", "v")) == [1, 2, 3, 4, 5]
+
+
+def test_layers_are_merged_and_old_ones_go(spark, tmp_path):
+    schema = spark.createDataFrame([], "event_time timestamp, k long, v long").schema
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], schema)
+    for n in range(12):
+        table.upsert(spark.createDataFrame([(ms(n), k, n) for k in (0, n)], schema), n, ["event_time"])
+    assert rows_of(table.read(), "k", "v") == sorted([(0, 11), *[(n, n) for n in range(1, 12)]])
+    assert len(table.manifest()["layers"]) < 6 and len(table.folder.names("data")) < 12
+
+
+def test_retention_of_streams_and_tables(spark, tmp_path):
+    now = int(time.time() * 1000)
+    put(spark, tmp_path / "in", 0, [(now - 3_600_000, "old", '{"v":1}'), (now, "new", '{"v":2}')])
+    e = topic_engine(spark, tmp_path / "in")
+    source = '(bridge from t partitions=1) -> (project to_string(key) as k, json_int("v", val) as v)'
+    e.execute(f"rows := {source} -> (store stream retention=10m)")
+    e.execute(f"tab := {source} -> (store table by k retention=10m)")
+    e.execute(f"agg := {source} -> (aggregate sum(v) as s by k retention=10m)")
+    runtime = Runtime(e, str(tmp_path / "out"))
+    runtime.run("rows", "tab", "agg")
+    for name in ("rows", "tab", "agg"):
+        assert [r["k"] for r in runtime.read(name).collect()] == ["new"]
+    rows = runtime.rows("rows")
+    time.sleep(0.02)
+    rows.append(spark.createDataFrame([], rows.schema), 1, 10)
+    assert rows.folder.names("data") == ["version=1"]
+
+
+def test_deleting_a_stream_ends_its_query_and_its_data(spark, tmp_path):
+    put(spark, tmp_path / "in", 0, [(1000, "a", "1")])
+    e = topic_engine(spark, tmp_path / "in")
+    e.execute("s := (bridge from t partitions=1) -> (project val as v) -> (store stream)")
+    runtime = Runtime(e, str(tmp_path / "out"))
+    query = runtime.start("s", once=False)
+    query.processAllAvailable()
+    assert runtime.read("s").count() == 1
+    e.execute("delete(s)")
+    assert not query.isActive and not (tmp_path / "out" / "s").exists()
+
+
+def test_a_silent_source_does_not_hold_up_a_join(spark, tmp_path):
+    put(spark, tmp_path / "l", 0, [(1000, "x", "1"), (100_000, "y", "2")])
+    put(spark, tmp_path / "l", 1, [(101_000, "y", "3")])
+    put(spark, tmp_path / "r", 0, [(1000, "z", "1")])
+    out = {}
+    for idle in ("", "watermark_idle_timeout=10s"):
+        e = Engine(spark)
+        for name in "lr":
+            e.bind_topic(name + "t", topics.file_topic(spark, str(tmp_path / name)))
+            e.execute(f"{name} := (bridge from {name}t partitions=1 {idle if name == 'r' else ''}) -> (project to_string(key) as k, to_string(val) as v) -> (store stream)")
+        e.execute("j := (join l with r by k *= k within 2s) -> (store stream)")
+        runtime = Runtime(e, str(tmp_path / f"out{len(idle)}"))
+        runtime.run("j")
+        out[idle] = rows_of(runtime.read("j"), "l_v", "r_v")
+    assert out == {"": [], "watermark_idle_timeout=10s": [("1", None)]}
+
+
+def test_a_run_that_died_goes_on_where_it_was(spark, tmp_path):
+    for n in range(3):
+        put(spark, tmp_path / "in", n, [(1000 * n, "a", '{"v":1}')])
+    e = topic_engine(spark, tmp_path / "in")
+    e.execute('s := (bridge from t partitions=1) -> (project to_string(key) as k, json_int("v", val) as v) -> (aggregate sum(v) as s by k)')
+    runtime = Runtime(e, str(tmp_path / "out"))
+    upsert, calls = KeyedTable.upsert, []
+
+    def dies(self, batch, version, arrival=None):
+        calls.append(version)
+        upsert(self, batch, version, arrival)
+        if len(calls) == 2:
+            raise OSError("lost after the write")
+
+    KeyedTable.upsert = dies
+    try:
+        with pytest.raises(Exception, match="lost after the write"):
+            runtime.run("s")
+    finally:
+        KeyedTable.upsert = upsert
+    runtime.run("s")
+    assert calls == [0, 1] and rows_of(runtime.read("s"), "k", "s") == [("a", 3)]
