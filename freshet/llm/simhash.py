@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import binary_values, checkpointed, connected_components, map_rows, numbered
 
 LIMIT = 4
-#: Of word shingles, for the stage that keeps one document of a class; shingles taken as common, and nodes broadcast.
-SIMILAR, COMMON, BROADCAST_ROWS = 0.8, 200_000, 500_000
+#: Of word shingles, for the stage that keeps one document of a class; shingles taken as common, rows broadcast, bits.
+SIMILAR, COMMON, BROADCAST_ROWS, BITMAP = 0.8, 200_000, 500_000, 1 << 26
 #: Largest bucket compared inside one task; larger ones take the midpoint route, which is exact too.
 BUCKET = 2048
 _STEP = 1 << 16
-_MOST = (1 << 16) - 1
+_MOST = 255
 #: Rows of a Hadamard matrix as reference fingerprints: any two differ in 32 bits, so coordinates are independent.
 PIVOTS = np.array(
     [sum((bin(row & col).count("1") & 1) << col for col in range(64)) for row in range(1, 64, 4)], dtype=np.uint64
@@ -190,50 +190,113 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def _sets(batches, shingle):
-    """(id, hash, fp, node, set): the set of a text's shingles as sorted hashes, and ``node``, which names the set."""
-    for batch in batches:
-        texts = binary_values(batch.column(1))
-        for at in range(0, len(texts), 512):
-            chunks = [list(_hashes(t, shingle)) for t in texts[at : at + 512]]
-            own = [np.unique(np.concatenate(c)).view(np.int64) if c else np.zeros(0, dtype=np.int64) for c in chunks]
-            prints = pa.array(np.array([_bits(c) for c in chunks], dtype=np.uint64).view(np.int64))
-            nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in own], dtype=np.uint64).view(np.int64))
-            part = batch.slice(at, len(own))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), prints, nodes, pa.array(own, pa.list_(pa.int64()))], names=["id", "hash", "fp", "node", "set"])
+def _set_of(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    chunks = list(_hashes(text, shingle))
+    return np.unique(np.concatenate(chunks)).view(np.int64) if chunks else np.zeros(0, dtype=np.int64)
 
 
-def _prefixes(batches, common, least):
-    """(key, node, n): of each set as many shingles as a set of similarity ``least`` can't lack all of, rare ones first."""
+def _node(own: np.ndarray) -> int:
+    """What names a set."""
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), 7))
+
+
+def _marks(batches, shingle):
+    """(id, hash, fp, node, n, some) by row: the text's fingerprint, its set's name and size, and of every 16th set the hashes."""
     for batch in batches:
-        keys, nodes, sizes = [], [], []
-        for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = own.values.to_numpy()
+        prints, nodes, sizes, some = [], [], [], []
+        for text in binary_values(batch.column(1)):
+            chunks = list(_hashes(text, shingle))
+            own = np.unique(np.concatenate(chunks)).view(np.int64) if chunks else np.zeros(0, dtype=np.int64)
+            prints.append(_signed(_bits(chunks)))
+            nodes.append(_node(own))
+            sizes.append(len(own))
+            some.append(own if nodes[-1] % 16 == 0 else None)
+        arrays = [pa.array(prints, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(some, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=["id", "hash", "fp", "node", "n", "some"])
+
+
+def _new_sets(batches, shingle, wanted=None):
+    """(node, set) of the texts, each set once a task; ``wanted`` is a bitmap of text hashes to look at."""
+    seen: set[int] = set()
+    for batch in batches:
+        at = np.arange(batch.num_rows)
+        if wanted is not None:
+            place = batch.column(1).to_numpy().view(np.uint64) % np.uint64(64 * len(wanted))
+            at = np.flatnonzero(wanted[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+        for text in binary_values(batch.column(0).take(pa.array(at))):
+            own = _set_of(text, shingle)
+            node = _node(own)
+            if node not in seen:
+                seen.add(node)
+                yield node, own
+
+
+def _in_batches(rows, size=1 << 20):
+    """Lists of (row, length of its array) whose arrays hold about ``size`` numbers."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += len(row[1])
+        if held > size:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
+def _prefixes(batches, shingle, common, least):
+    """(key, node, n): of each set as many shingles as a set of similarity ``least`` can't lack all of, rare ones first."""
+
+    def each():
+        for node, own in _new_sets(batches, shingle):
             n = len(own)
             often = np.isin(own, common) if len(common) else np.zeros(n, dtype=bool)
-            pick = np.concatenate([own[~often], own[often]])[: n - math.ceil(least * n - 1e-9) + 1]
-            keys.append(pick)
-            nodes.append(np.full(len(pick), node))
-            sizes.append(np.full(len(pick), n))
-        if keys:
-            columns = [np.concatenate(c) for c in (keys, nodes, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2].astype(np.int32))], names=["key", "node", "n"])
+            yield node, np.concatenate([own[~often], own[often]])[: n - math.ceil(least * n - 1e-9) + 1], n
 
+    for held in _in_batches(each()):
+        keys, lengths = np.concatenate([k for _, k, _ in held]), [len(k) for _, k, _ in held]
+        columns = [np.repeat(np.array([x[k] for x in held], dtype=np.int64), lengths) for k in (0, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(columns[0]), pa.array(columns[1].astype(np.int32))], names=["key", "node", "n"])
 
-def _unlinked(batches, least):
-    """Pairs of each bucket, a row being its (node, n, root), that differ in root and whose sizes allow the similarity."""
+
+def _whole(batches, shingle, wanted):
+    for held in _in_batches(_new_sets(batches, shingle, wanted)):
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([s for _, s in held], pa.list_(pa.int64()))], names=["node", "value"])
+
+
+def _sketch(own: np.ndarray) -> bytes:
+    """How many hashes have each of the endings; there are four to eight hashes an ending, and sixteen endings at least."""
+    width = 1 << max(4, (max(len(own), 1) - 1).bit_length() - 3)
+    return np.minimum(np.bincount(own & (width - 1), minlength=width), _MOST).astype(np.uint8).tobytes()
+
+
+def _sketches(batches, shingle, wanted):
+    each = ((n, _sketch(s), len(s)) for n, s in _new_sets(batches, shingle, wanted))
+    for held in _in_batches(each):
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([(x[2], x[1]) for x in held], pa.struct([("n", pa.int32()), ("sketch", pa.binary())]))], names=["node", "value"])
+
+
+def may_be_similar(x: tuple[int, bytes], y: tuple[int, bytes], least: float) -> bool:
+    """From sizes and sketches: two sets share no more than the smaller count of each ending."""
+    (n, x), (m, y) = ((k, np.frombuffer(s, dtype=np.uint8).astype(np.int64)) for k, s in (x, y))
+    if min(n, m) < least * max(n, m) - 1e-9:
+        return False
+    if max(x.max(), y.max()) >= _MOST:  # counts may be cut: no bound
+        return True
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    both = int(np.minimum(x, y).sum())
+    return both >= least * (n + m - both) - 1e-9
+
+
+def _possible(batches, least):
     for batch in batches:
-        for members in batch.column(0):
-            v = members.values
-            node, n, root = (v.field(k).to_numpy() for k in ("node", "n", "root"))
-            order = np.argsort(n, kind="stable")
-            node, n, root = node[order], n[order], root[order]
-            until = np.searchsorted(n, n / least + 1e-9, side="right")
-            for k in range(len(n)):
-                others = k + 1 + np.flatnonzero(root[k + 1 : until[k]] != root[k])
-                if len(others):
-                    a, b = np.minimum(node[k], node[others]), np.maximum(node[k], node[others])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        x, y = ([(v["n"], v["sketch"]) for v in batch.column(k).to_pylist()] for k in (2, 3))
+        keep = [may_be_similar(p, q, least) for p, q in zip(x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _alike(batches, least):
@@ -247,67 +310,81 @@ def _alike(batches, least):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _sketches(batches):
-    """(node, n, sketch): how many of a set's hashes have each of 128 endings."""
-    for batch in batches:
-        own = [s.values.to_numpy() for s in batch.column(1)]
-        sketches = [np.minimum(np.bincount(s & 127, minlength=128), _MOST).astype(np.uint16).tobytes() for s in own]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int32()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
-
-
-def _possible(batches, least):
-    """The pairs that may be similar: sets share no more than the smaller count of each ending."""
+def _unlinked(batches, least):
+    """Pairs of each bucket, a row being its (node, n, root), that differ in root and whose sizes allow the similarity."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, 128) for k in (4, 5))
-        n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-        both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-        keep = (both >= least * (n + m - both) - 1e-9) | (np.maximum(n, m) >= _MOST)  # where counts may be cut, no bound
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _of_nodes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``sets`` whose nodes ``pairs`` hold."""
-    nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "set")
+        for members in batch.column(0):
+            v = members.values
+            node, n, root = (v.field(k).to_numpy() for k in ("node", "n", "root"))
+            order = np.argsort(n, kind="stable")
+            node, n, root = node[order], n[order], root[order]
+            until = np.searchsorted(n, n / least + 1e-9, side="right")
+            for k in range(len(n)):
+                others = k + 1 + np.flatnonzero(root[k + 1 : until[k]] != root[k])
+                if len(others):
+                    a, b = np.minimum(node[k], node[others]), np.maximum(node[k], node[others])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) that are similar; sketches discard most others before whole sets travel."""
-    pairs = checkpointed(pairs.where("a <> b").distinct())
-    brief = checkpointed(map_rows(_of_nodes(pairs, sets), _sketches, "node bigint, n int, sketch binary").dropDuplicates(["node"]))
-    x, y = (brief.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    pairs = checkpointed(map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb"), lambda b: _possible(b, least), "a bigint, b bigint"))
-    held = _of_nodes(pairs, sets).dropDuplicates(["node"])
-    x, y = held.select(F.col("node").alias("a"), F.col("set").alias("x")), held.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return checkpointed(map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), lambda b: _alike(b, least), "a bigint, b bigint"))
+class _Texts:
+    """Texts (hash, text) and, by ``marks``, the set that each has; sets are computed anew wherever they are needed.
 
+    They take about as much room as the texts themselves, so none are stored: a pass over the texts is cheaper.
+    """
 
-def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(node, root) over the nodes of ``sets`` (fp, node, set): classes of the links of Jaccard similarity ``least``.
+    def __init__(self, texts: DataFrame, marks: DataFrame, shingle: int, least: float):
+        self.texts, self.shingle, self.least = texts, shingle, least
+        self.held = checkpointed(marks.groupBy("node").agg(F.min("hash").alias("hash"), F.min("n").alias("n")))
+
+    def _of(self, pairs: DataFrame, rows, kind: str) -> DataFrame:
+        """``pairs`` with what ``rows`` makes of the sets of both.  Texts to look at are marked in a bitmap of fixed size: it
+        lets others pass as well when there are very many, which costs time only."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        place = F.pmod(F.shiftright("hash", 6), F.lit(BITMAP // 64))
+        bit = F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")
+        marked = self.held.join(nodes, "node", "left_semi").groupBy(place.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bitmap = np.zeros(BITMAP // 64, dtype=np.uint64)
+        bitmap[marked["at"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+        sent, shingle = self.texts.sparkSession.sparkContext.broadcast(bitmap), self.shingle
+        values = map_rows(self.texts.select("text", "hash"), lambda b: rows(b, shingle, sent.value), f"node bigint, value {kind}").dropDuplicates(["node"])
+        x, y = (values.select(F.col("node").alias(k), F.col("value").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` (a, b) that are similar; sketches discard most others before whole sets travel."""
+        least = self.least
+        pairs = checkpointed(pairs.where("a <> b").distinct())
+        pairs = checkpointed(map_rows(self._of(pairs, _sketches, "struct<n:int,sketch:binary>"), lambda b: _possible(b, least), "a bigint, b bigint"))
+        return checkpointed(map_rows(self._of(pairs, _whole, "array<bigint>"), lambda b: _alike(b, least), "a bigint, b bigint"))
+
+
+def similar_sets(texts: DataFrame, marks: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
+    """(node, root) over the nodes of ``marks`` (hash, fp, node, n, some): classes of the links of Jaccard similarity ``least``.
 
     No link is lost: in any one order, the first shingles of two similar sets (as many as a similar set can't lack all
     of) meet.  The order puts shingles last that a sample finds often; what it misses costs time only.  Pairs first come
     from the fingerprints and from each bucket's smallest node, so that a large group of near copies is one class
     before the pairs that no link joins yet are looked at.
     """
-    sample = sets.where(F.pmod("node", F.lit(16)) == 0).select(F.explode("set").alias("key")).groupBy("key").count().where("count >= 8")
+    held = _Texts(texts, marks, shingle, least)
+    sample = marks.where("some IS NOT NULL").dropDuplicates(["node"]).select(F.explode("some").alias("key")).groupBy("key").count().where("count >= 8")
     common = np.array([r["key"] for r in sample.orderBy(F.desc("count"), "key").limit(COMMON).collect()], dtype=np.int64)
-    keys = map_rows(sets.select("node", "set"), lambda b: _prefixes(b, common, least), "key bigint, node bigint, n int")
-    buckets = keys.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("m")).where(F.size("m") > 1)
+    keys = map_rows(texts.select("text", "hash"), lambda b: _prefixes(b, shingle, common, least), "key bigint, node bigint, n int")
+    buckets = keys.repartition("key").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("m")).where(F.size("m") > 1)
     buckets = checkpointed(buckets.select("m").distinct().withColumn("bucket", F.monotonically_increasing_id()))
     each = buckets.select("bucket", F.col("m")[0].alias("low"), F.explode("m").alias("x")).select("bucket", "low", "x.node", "x.n")
-    fits = F.least("low.n", "n") >= least * F.greatest("low.n", "n") - 1e-9
-    prints = sets.groupBy("fp").agg(F.min("node").alias("low"), F.collect_set("node").alias("nodes"))
+    fits = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+    prints = marks.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("low"), F.collect_set(F.struct("node", "n")).alias("nodes"))
     roots = link_fingerprints(prints.select("fp")).select(F.col("node").alias("fp"), "root")
     classed = prints.join(roots, "fp", "left").select("low", "nodes", F.coalesce("root", "fp").alias("root"))
     lows = classed.groupBy("root").agg(F.min("low").alias("a"))
-    by_print = classed.select("root", F.explode("nodes").alias("b")).join(lows, "root").select("a", "b")
-    links = _verified(each.where(fits).select(F.col("low.node").alias("a"), F.col("node").alias("b")).unionByName(by_print), sets, least)
+    by_print = classed.select("root", F.explode("nodes").alias("b")).join(lows, "root").where(fits(F.col("a.n"), F.col("b.n"))).select("a.node", F.col("b.node").alias("b")).toDF("a", "b")
+    stars = each.where(fits(F.col("low.n"), F.col("n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+    links = held.alike(stars.unionByName(by_print))
     first = connected_components(links).withColumnRenamed("node", "other")
     named = each.join(first, F.col("node") == F.col("other"), "left").select("bucket", F.struct("node", "n", F.coalesce("root", "node").alias("root")).alias("x"))
     open_ = named.groupBy("bucket").agg(F.collect_list("x").alias("m"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("m")
-    more = _verified(map_rows(open_, lambda b: _unlinked(b, least), "a bigint, b bigint"), sets, least)
+    more = held.alike(map_rows(open_, lambda b: _unlinked(b, least), "a bigint, b bigint"))
     return connected_components(links.unionByName(more))
 
 
@@ -317,16 +394,26 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> DataF
     Classes are of links between texts whose sets of word shingles have a Jaccard similarity of ``least`` or more; texts
     without a word are one class.  A null doc_id comes after all others; rows alike in doc_id and text are copies of each
     other, while other texts under a repeated doc_id count as documents of their own.
+
+    Rows that stay aren't shuffled: those that go are told by two hashes, and are broadcast as long as they are few.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hashed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"))
-    sets = checkpointed(map_rows(hashed, lambda b: _sets(b, shingle), f"id {kind}, hash bigint, fp bigint, node bigint, set array<bigint>"))
-    roots = similar_sets(sets.select("fp", "node", "set"), least).withColumnRenamed("node", "other")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"))
+    marks = checkpointed(map_rows(texts, lambda b: _marks(b, shingle), f"id {kind}, hash bigint, fp bigint, node bigint, n int, some array<bigint>"))
+    roots = similar_sets(texts.select("text", "hash"), marks, shingle, least).withColumnRenamed("node", "other")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("m")
-    by_node = sets.groupBy("node").agg(first)
-    by_class = by_node.join(roots, by_node["node"] == roots["other"], "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m"))
-    stays = checkpointed(by_class.select(F.col("m.id").alias("__id"), F.col("m.hash").alias("__hash")))
+    by_class = marks.groupBy("node").agg(first).join(roots, F.col("node") == F.col("other"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m"))
+    stays = by_class.select(F.xxhash64("m.id").alias("__id"), F.col("m.hash").alias("__hash"))
+    rows = marks.groupBy(F.xxhash64("id").alias("__id"), F.col("hash").alias("__hash")).count()
+    gone = checkpointed(rows.join(stays, ["__id", "__hash"], "left_anti").select("__id", "__hash"))
+    twice = checkpointed(rows.where("count > 1").join(stays, ["__id", "__hash"], "left_semi").select("__id", "__hash"))
     work, at, restored = numbered(docs)
     work = work.withColumn("hash", F.xxhash64(at["text"]))
-    same = work[at["doc_id"]].eqNullSafe(stays["__id"]) & (work["hash"] == stays["__hash"])
-    return restored(work.join(stays, same, "left_semi").dropDuplicates([at["doc_id"], "hash"]))
+    found = lambda some: (F.xxhash64(work[at["doc_id"]]) == some["__id"]) & (work["hash"] == some["__hash"])
+    size = gone.count() + (repeated := twice.count())
+    sent = lambda some: F.broadcast(some) if size <= BROADCAST_ROWS else some  # noqa: E731  # 16 bytes each
+    if not repeated:
+        return restored(work.join(sent(gone), found(gone), "left_anti"))
+    others = gone.unionByName(twice)
+    once = work.join(sent(twice), found(twice), "left_semi").dropDuplicates([at["doc_id"], "hash"])
+    return restored(work.join(sent(others), found(others), "left_anti").unionByName(once))
