@@ -251,7 +251,7 @@ def _prefixes(batches, shingle, common, least):
     def each():
         for node, own in _new_sets(batches, shingle):
             n = len(own)
-            often = np.isin(own, common) if len(common) else np.zeros(n, dtype=bool)
+            often = common[np.searchsorted(common, own).clip(max=len(common) - 1)] == own if len(common) else np.zeros(n, dtype=bool)
             yield node, np.concatenate([own[~often], own[often]])[: n - math.ceil(least * n - 1e-9) + 1], n
 
     for held in _in_batches(each()):
@@ -368,7 +368,7 @@ def similar_sets(texts: DataFrame, marks: DataFrame, shingle: int, least: float
     """
     held = _Texts(texts, marks, shingle, least)
     sample = marks.where("some IS NOT NULL").dropDuplicates(["node"]).select(F.explode("some").alias("key")).groupBy("key").count().where("count >= 8")
-    common = np.array([r["key"] for r in sample.orderBy(F.desc("count"), "key").limit(COMMON).collect()], dtype=np.int64)
+    common = np.sort(sample.orderBy(F.desc("count"), "key").limit(COMMON).select("key").toArrow()["key"].to_numpy())
     keys = map_rows(texts.select("text", "hash"), lambda b: _prefixes(b, shingle, common, least), "key bigint, node bigint, n int")
     buckets = keys.repartition("key").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("m")).where(F.size("m") > 1)
     buckets = checkpointed(buckets.select("m").distinct().withColumn("bucket", F.monotonically_increasing_id()))
