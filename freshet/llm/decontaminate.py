@@ -1,14 +1,17 @@
 """Benchmark items found inside documents: size-partitioned MinHash containment search; built-in functions only.
 
 Items are partitioned by size (powers of two of their shingle count).  An item's sketch is its bottom-k shingles under
-a MinHash order, with k one more than the share of shingles that a match may lack in the largest item of its
-partition: a document that holds ``threshold`` of the item then holds at least one sketch shingle, so candidates are
-complete whatever the document's length.  (MinHash of the documents would not be: a short item in a long text has a
-Jaccard similarity near zero, and windows around it multiply the rows.)  Candidates are verified by their exact
-containment: distinct shared shingles over distinct shingles of the item.
+a MinHash order, with k one more than the number of shingles that a match may lack in the largest item of its
+partition, in whole numbers: a document that holds ``threshold`` of the item then holds at least one sketch shingle, so
+candidates are complete whatever the document's length.  (MinHash of the documents would not be: a short item in a long
+text has a Jaccard similarity near zero, and windows around it multiply the rows.)
+
+Documents' shingles meet the sketches only, which gives candidate pairs.  Just the documents among these are cut into
+shingles once more, and each pair is verified by its exact containment: distinct shared shingles over distinct shingles of
+the item.
 
 A shingle is five words (an item with fewer is one shingle), a word a run of letters and digits in lower case; both are
-compared by 64-bit hashes.  The items' table is broadcast up to ``BROADCAST_ROWS`` shingles and shuffled beyond.
+compared by 64-bit hashes.  Tables are broadcast up to ``BROADCAST_BYTES``, counted, and shuffled beyond.
 
 Defined cases: null texts and items without a word match nothing; rows alike in id and text are one document; an
 empty table gives an empty result.
@@ -16,13 +19,15 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpointed, numbered
 
-SHINGLE, THRESHOLD, BROADCAST_ROWS = 5, 0.8, 1_000_000
+SHINGLE, THRESHOLD, BROADCAST_BYTES = 5, 0.8, 48 << 20
 
 
 def _words(col):
@@ -39,6 +44,17 @@ def _hashes(col):
     return F.transform(_words(col), lambda w: F.xxhash64(w))
 
 
+def _share(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction of whole numbers, as it is written."""
+    return Fraction(str(threshold)).as_integer_ratio()
+
+
+def _small(df: DataFrame) -> bool:
+    """Whether a table is small enough to broadcast: its longs, and its keys as texts."""
+    wide = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema), F.lit(16))
+    return (df.agg(F.sum(wide)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(item, words, item_shingles, shingle, in_sketch), a row for each distinct shingle."""
     base = items.select(F.col(id_col).alias("item"), _hashes(F.col(text_col)).alias("h"))
@@ -47,31 +63,41 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     rows = base.select("item", "words", F.explode(grams).alias("shingle")).distinct()
     own = Window.partitionBy("item")
     sized = rows.withColumn("item_shingles", F.count("*").over(own))
-    largest = F.pow(F.lit(2.0), F.floor(F.log2("item_shingles")) + 1) - 1  # of the item's partition
+    top, bottom = _share(threshold)
+    # the size of the largest item of the partition, and how many of its shingles a match may lack
+    lack = F.expr(f"((CAST(1 AS BIGINT) << CAST(length(bin(item_shingles)) AS INT)) - 1) * {bottom - top} DIV {bottom}")
     order = Window.partitionBy("item").orderBy(F.xxhash64("shingle"), "shingle")
-    return sized.select("item", "words", "item_shingles", "shingle", (F.row_number().over(order) <= F.floor(largest * (1 - threshold)) + 1).alias("in_sketch"))
+    return sized.select("item", "words", "item_shingles", "shingle", (F.row_number().over(order) <= lack + 1).alias("in_sketch"))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, text_hash, item, matched, item_shingles, containment) of every document and item at ``threshold`` or above."""
     wanted = checkpointed(item_shingles(items, item_col, item_text, threshold))
     lengths = [r["words"] for r in wanted.select("words").distinct().collect()]  # five values at most
-    few = wanted.count() <= BROADCAST_ROWS
-    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _hashes(F.col(text_col)).alias("h"))
-    grams = F.concat(*[_grams(F.col("h"), n) for n in lengths]) if lengths else F.array().cast("array<bigint>")
-    found = hashed.select("id", "text_hash", F.explode(grams).alias("shingle"))
-    side = wanted.select("item", "item_shingles", "shingle", "in_sketch")
-    hits = found.join(F.broadcast(side) if few else side, "shingle")
+    shown = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def meeting(texts, side):
+        grams = [_grams(F.col("h"), n) for n in lengths]
+        found = texts.select("id", "text_hash", _hashes(F.col("text")).alias("h")).select("id", "text_hash", F.explode(F.concat(*grams) if grams else F.array().cast("array<bigint>")).alias("shingle"))
+        return found.join(F.broadcast(side) if _small(side) else side, "shingle")
+
+    pairs = checkpointed(meeting(shown, wanted.where("in_sketch").select("item", "shingle")).select("id", "text_hash", "item").distinct())
+    named = pairs.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("item").alias("__item"))
+    texts = named.select("__hash").distinct()
+    held = shown.join(F.broadcast(texts) if _small(texts) else texts, F.col("text_hash") == F.col("__hash"), "left_semi")
+    hits = meeting(held, wanted.select("item", "item_shingles", "shingle"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & F.col("item").eqNullSafe(F.col("__item"))
+    sure = hits.join(F.broadcast(named) if _small(named) else named, same, "left_semi")
     pair = ["id", "text_hash", "item", "item_shingles"]
-    counted = hits.groupBy(*pair, "shingle").agg(F.max("in_sketch").alias("in_sketch")).groupBy(*pair).agg(F.count("*").alias("matched"), F.max("in_sketch").alias("candidate"))
-    share = F.col("matched") / F.col("item_shingles")
-    return counted.where(F.col("candidate") & (share >= threshold)).select("id", "text_hash", "item", "matched", "item_shingles", share.alias("containment"))
+    top, bottom = _share(threshold)
+    counted = sure.groupBy(*pair, "shingle").agg(F.lit(1)).groupBy(*pair).agg(F.count("*").alias("matched"))
+    return counted.where(F.col("matched") * bottom >= F.col("item_shingles") * top).select(*pair[:3], "matched", "item_shingles", (F.col("matched") / F.col("item_shingles")).alias("containment"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that hold a benchmark item."""
     found = checkpointed(contained(docs, items, threshold).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = _small(found)
     work, at, restored = numbered(docs)
     same = work[at["doc_id"]].eqNullSafe(found["__id"]) & (F.xxhash64(work[at["text"]]) == found["__hash"])
     return restored(work.join(F.broadcast(found) if few else found, same, "left_anti"))
