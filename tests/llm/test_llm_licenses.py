@@ -28,12 +28,13 @@ def rules(ids):
         while k < len(ids):
             if ids[k : k + len(seq)] == seq:
                 names += [name] if name not in names else []
+                out.append("-")
                 k += len(seq)
             else:
                 out.append(ids[k])
                 k += 1
         ids = out
-    return names, ids
+    return names, [i for i in ids if i != "-"]
 
 
 def test_recognised_notices(spark):
@@ -62,3 +63,75 @@ def test_blanks_and_marks_between_words_do_not_matter(spark):
     docs += [(10 + k, f"Before it.\nThis{b}program{b}is{b}free{b}software.\nAfter it.") for k, b in enumerate(blanks)]
     got = {r["id"]: r["sentence_ids"] for r in licenses.licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {k: "AllRights" if k < 10 else "GplFree3a" for k, _ in docs}
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT_WHOLE = """Copyright (c) 2020 Somebody
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = {"Apache-2.0": APACHE, "MIT": MIT_WHOLE, "BSD-2-Clause": BSD, "GPL-3.0-or-later": GPL, "LGPL-2.1-or-later": LGPL, "MPL-2.0": MPL}
+
+
+def test_wrapped_notices_in_any_comment(spark):
+    """As they stand in files: wrapped, indented, behind comment marks, with doubled blanks."""
+    frames = [lambda t: t, lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */", lambda t: "\n".join(f"# {x}" for x in t.split("\n")), lambda t: "\n".join(f"//\t{x}" for x in t.split("\n")), lambda t: t.replace(" ", "  "), lambda t: t.replace("\n", "\r\n")]
+    docs = [(f"{name}/{k}", f"int x = 1;\nSome words\n\n{frame(text)}\n\nand more") for name, text in NOTICES.items() for k, frame in enumerate(frames)]
+    got = licenses.licences(spark.createDataFrame(docs, "doc_id string, text string")).collect()
+    assert {r["id"]: r["licenses"] for r in got} == {k: k.split("/")[0] for k, _ in docs}
+
+
+def test_no_rule_matches_across_what_another_took():
+    names, left = licenses.by_rules(["GplFree3a", "MitRef", "GplFree3b"])
+    assert (names, left) == (["MIT"], ["GplFree3a", "GplFree3b"])
+
+
+def test_a_line_inside_a_longer_sentence_is_not_found_by_itself():
+    assert licenses.identifiers("This project is licensed under the\nMIT License\n\nMIT License\nmore") == ["MitRef", "MitRef"]
