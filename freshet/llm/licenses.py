@@ -90,13 +90,20 @@ RULES = [
 _BY_START: dict[tuple[str, ...], list[tuple[list[str], str]]] = {}
 for _sentence, _id in SENTENCES.items():
     _BY_START.setdefault(tuple(_sentence.split(" ")[:2]), []).append((_sentence.split(" "), _id))
+#: Inside single words, which texts hold unchanged however they are spaced: passages without one hold no known sentence.
+_SIGN = re.compile("licen[sc]|reserved|permission|warrant|redistribut|software|copyright|cc0|public")
+assert all(_SIGN.search(s) for s in SENTENCES), "every known sentence holds a sign"
 MOST = max(s.count(" ") + 1 for s in SENTENCES)
 
 
 def identifiers(text: str) -> list[str]:
     """The identifiers of the known sentences of a text, in its order."""
-    out = []
+    out: list[str] = []
+    if not _SIGN.search(text.lower()):
+        return out
     for passage in _CUT.split(text):
+        if not _SIGN.search(passage.lower()):
+            continue
         lines = [w for w in map(line_words, passage.split("\n")) if w != [""] and w]
         if not lines:
             continue
