@@ -7,8 +7,9 @@ of word and prefix, its transitions let neighbours support each other.  Forward-
 whole text are then aggregated (largest, expected number, share) by a logistic model of the document labels to the
 score, and runs of tokens over one half are the offending spans.
 
-The model is fitted on the driver from at most ``TOXIC_ROWS`` + ``OTHER_ROWS`` labelled rows, chosen by hash; of each,
-the chain sees at most ``FIT_TOKENS`` tokens.  Scoring has no such bound.
+The model is fitted on the driver from whole texts of at most ``TOXIC_ROWS`` + ``OTHER_ROWS`` labelled rows, chosen by hash.
+A quarter of them takes no part in lexicon and chain: the logistic model is fitted on these, whose marginals are as those of
+new documents.  Scoring has no bound.
 
 Defined cases: null and blank texts have no token and the score of a document with no toxic token; labels that
 repeat count once (toxic wins); null labels are none; without both kinds of label every score is 0; rows repeated
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_values, checkpointed, map_rows
 
-TOXIC_ROWS, OTHER_ROWS, FIT_TOKENS, LEXICON = 2000, 4000, 2000, 20_000
+TOXIC_ROWS, OTHER_ROWS = 2000, 4000
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 BANDS = np.array([0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0])
 _N = len(BANDS) + 1
@@ -158,11 +159,13 @@ def summary(chain: Chain, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Both labels have equal weight: their shares among the fitted rows are a matter of how many were drawn."""
     w = np.zeros(x.shape[1])
+    each = len(y) / 2 / np.maximum(np.where(y == 1, y.sum(), len(y) - y.sum()), 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 0.1 * w)
+        hessian = (x * (each * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (each * (y - p)) - 0.1 * w)
     return w
 
 
@@ -182,31 +185,41 @@ def _document_counts(batches):
         )
 
 
-def _sequences(batches, lexicon, most):
+def _sequences(batches, lexicon):
     coder = Codes(lexicon)
     for batch in batches:
-        codes = [coder.of(t)[:most].tobytes() for t in binary_values(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["toxic", "codes"])
+        codes = [coder.of(t).tobytes() for t in binary_values(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), batch.column(2)], names=["toxic", "codes", "late"])
 
 
 def fit(labelled: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS):
     """A model of (key, text, toxic) rows, or None where a kind of label is missing; see the module for its bounds."""
     known = labelled.where("toxic IN (0, 1)").select(F.col("toxic").cast("int").alias("toxic"), "text", F.xxhash64("key").alias("h"))
     picked = [known.where(f"toxic = {k}").orderBy("h", "text").limit(n) for k, n in ((1, toxic_rows), (0, other_rows))]
-    rows = checkpointed(picked[0].unionByName(picked[1]).select("toxic", "text"))
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    parts = max(8, known.sparkSession.sparkContext.defaultParallelism)
+    rows = checkpointed(picked[0].unionByName(picked[1]).select("toxic", "text", F.expr("h & 3 = 0").alias("late")).repartition(parts, F.xxhash64("text")))
+    early = rows.where("NOT late")
+    totals = {r["toxic"]: r["count"] for r in early.groupBy("toxic").count().collect()}
+    if len(totals) < 2:
+        early = rows  # hardly a row: all serve for both
+        totals = {r["toxic"]: r["count"] for r in early.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return None
-    counts = map_rows(rows, _document_counts, "feature binary, other bigint, toxic bigint").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = map_rows(early.select("toxic", "text"), _document_counts, "feature binary, other bigint, toxic bigint").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("other") + 0.5) / (totals[0] + 1))
     low = odds - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
-    strong = counts.where("toxic >= 3").select("feature", low.alias("low")).where(F.col("low") >= float(BANDS[0])).orderBy(F.desc("low"), "feature").limit(LEXICON)
+    strong = counts.where("toxic >= 3").select("feature", low.alias("low")).where(F.col("low") >= float(BANDS[0]))
     lexicon = {bytes(r["feature"]): int(np.searchsorted(BANDS, r["low"], side="right")) for r in strong.collect()}
-    held = map_rows(rows, lambda b: _sequences(b, lexicon, FIT_TOKENS), "toxic int, codes binary").collect()
-    codes, toxic = [np.frombuffer(r["codes"], dtype=np.int16) for r in held], [r["toxic"] for r in held]
-    chain = fit_chain(codes, toxic)
-    over = Chain(codes)
-    weights = fit_logistic(summary(over, over.marginals(*chain), np.array([len(c) for c in codes])), np.array(toxic, dtype=float))
+    held = map_rows(rows.select("toxic", "text", "late"), lambda b: _sequences(b, lexicon), "toxic int, codes binary, late boolean").collect()
+    parted = any(not r["late"] for r in held if r["toxic"]) and any(not r["late"] for r in held if not r["toxic"])
+    first = [r for r in held if not parted or not r["late"]]
+    last = [r for r in held if r["late"]]
+    if len({r["toxic"] for r in last}) < 2:
+        last = held
+    codes = lambda some: [np.frombuffer(r["codes"], dtype=np.int16) for r in some]
+    chain = fit_chain(codes(first), [r["toxic"] for r in first])
+    over = Chain(codes(last))
+    weights = fit_logistic(summary(over, over.marginals(*chain), np.array([len(c) for c in codes(last)])), np.array([r["toxic"] for r in last], dtype=float))
     return lexicon, chain, weights
 
 
