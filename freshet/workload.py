@@ -117,6 +117,19 @@ query("project_bytes", E + "SELECT event_id, strlen(event_type) n, substring(eve
       'b := events -> (project event_id, to_bytes(event_type) as raw, to_bytes(concat(event_type, "........")) as wide) -> (store stream)', "(scan all from b) -> (project event_id, len(raw) as n, to_string(bytes_slice(raw, 1, 3)) as sl, uint64_be(wide, 0) as be)")
 query("project_sprintf", E + "SELECT event_id, event_type || '/' || user_id || '%' s FROM e", '(scan all from events) -> (project event_id, sprintf("%s/%d%%", event_type, user_id) as s)')
 
+#: A document for each row: nulls, absent members and every kind of value.
+_DOCS = """if(event_id % 5 == 0, "{\\"k\\": null, \\"o\\": {\\"b\\": true}}", if(event_id % 5 == 1, "{\\"k\\": \\"text\\", \\"o\\": [1]}", if(event_id % 5 == 2, "{\\"k\\": false}", if(event_id % 5 == 3, "{\\"k\\": [7]}", props))))"""
+_DOCS_SQL = """CASE event_id % 5 WHEN 0 THEN '{"k": null, "o": {"b": true}}' WHEN 1 THEN '{"k": "text", "o": [1]}' WHEN 2 THEN '{"k": false}' WHEN 3 THEN '{"k": [7]}' ELSE props END"""
+query("project_json_kinds", E + f"""SELECT event_id, CASE json_type(d, '$.k') WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'json' ELSE 'number' END kt, json_type(d, '$.k') = 'NULL' kn,
+ CASE WHEN json_exists(d, '$.o') THEN json_type(d, '$.o') = 'NULL' END missing_null, CASE WHEN json_exists(d, '$.o') THEN 'json' END ot, CASE WHEN json_exists(d, '$.o.b') THEN true END b FROM (SELECT event_id, {_DOCS_SQL} d FROM e)""",
+      f"d := events -> (project event_id, {_DOCS} as d) -> (store stream)", '(scan all from d) -> (project event_id, json_type("k", d) as kt, json_is_null("k", d) as kn, json_is_null("o", d) as missing_null, json_type("o", d) as ot, json_bool("o.b", d) as b)')
+query("project_uint64_le", E + "SELECT event_id, CAST('0x' || hex(encode(reverse(substring(event_type || '........', 1, 8)))) AS BIGINT) le FROM e",
+      '(scan all from events) -> (project event_id, uint64_le(to_bytes(concat(event_type, "........")), 0) as le)')
+query("project_wide_strings", E + "SELECT event_id, strlen('é' || event_type) n, upper('é' || event_type) up, starts_with('日本' || event_type, '日') st, replace('aé' || event_type, 'é', 'ß') rp FROM e",
+      '(scan all from events) -> (project event_id, len(concat("é", event_type)) as n, to_upper(concat("é", event_type)) as up, starts_with(concat("日本", event_type), "日") as st, replace(concat("aé", event_type), "é", "ß") as rp)')
+query("project_decimal_down", E + "SELECT event_id, CAST(round(CAST(value AS DECIMAL(12,2)) / 10, 2) AS DOUBLE) tenth FROM (SELECT event_id, CAST(floor(value) AS BIGINT) value FROM e)",
+      "(scan all from events) -> (project event_id, to_float(decimal_shift(to_decimal(to_int(value), 12, 2), -1)) as tenth)")
+
 # ---------------------------------------------------------------- aggregation
 
 query("agg_global", E + "SELECT max(et) et, count(event_id) n, CAST(sum(user_id) AS BIGINT) s, min(value) lo, max(value) hi FROM e",
@@ -184,6 +197,19 @@ query("scan_nulls_lowest", "SELECT s_suppkey FROM supplier WHERE CASE WHEN s_sup
 query("get_point", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7", "(get 7 from customer) -> (project c_custkey, c_name)", tables_=("customer",))
 query("get_prefix", "SELECT c_custkey FROM customer WHERE c_nationkey = 5", "(get 5 from customer_by_nation) -> (project c_custkey)", tables_=("customer_by_nation",))
 query("sort_multi_nulls", E + "SELECT event_id, kind, user_id FROM e", "(scan all from events) -> (project event_id, kind, user_id) -> (sort by kind desc, user_id, event_id)")
+@built("sort_positions", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END s_group, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END DESC NULLS LAST, s_suppkey) - 1 p FROM supplier")
+def sort_positions(spark, sf_dir):
+    """The order itself: rows numbered as the sorted partitions lie."""
+    rows = load(spark, sf_dir, None, "supplier").execute("(scan all from supplier) -> (project s_suppkey, s_group) -> (sort by s_group desc, s_suppkey)")
+    return tables.with_offset(rows).select("s_suppkey", "s_group", F.col("offset").alias("p"))
+
+
+@built("retention_at", "SELECT event_id FROM events WHERE epoch_us(ts) // 1000 + 864000000 > 1705104000000")
+def retention_at(spark, sf_dir):
+    """Rows of ten days, as they are on 13 January 2024."""
+    return tables.retained(load(spark, sf_dir).stream("events").df, 864_000_000, F.timestamp_millis(F.lit(1705104000000))).select("event_id")
+
+
 query("partition_repartition", E + "SELECT event_id, user_id FROM e", "p := events -> (partition by user_id partitions=16) -> (project event_id, user_id) -> (store stream)", "(scan all from p) -> (project event_id, user_id)")
 query("partition_const", E + "SELECT count(*) n FROM e", "p := events -> (partition by const) -> (aggregate count(event_id) as n)", "(scan all from p) -> (project n)")
 query("topic_bridge", "SELECT event_id \"offset\", event_type k, CAST(json_extract_string(props, '$.k') AS BIGINT) v FROM events",
@@ -289,6 +315,41 @@ def stream_table_upsert(spark, sf_dir):
     return runtime.snapshot().execute("(scan all from s) -> (project event_type, n, s)")
 
 
+@built("stream_windows_unnamed", f"""WITH {EVENTS}, w AS (SELECT *, {24 * _HOUR} * (1 + et // {24 * _HOUR}) we FROM e)
+SELECT event_type, max(et) et, count(*) n FROM w WHERE we <= {_TOP} - 1000 GROUP BY we, event_type""")
+def stream_windows_unnamed(spark, sf_dir):
+    engine = Engine(prepare(spark))
+    engine.bind_topic("t", _event_stream(spark, sf_dir))
+    engine.execute('s := (bridge from t partitions = 8 props = ()) -> (project to_string(key) as event_type) -> (aggregate count(event_type) as n by event_type size=24h hop=24h)')
+    runtime = Runtime(engine, _stream_root(spark))
+    runtime.run("s")
+    return runtime.snapshot().execute("(scan all from s) -> (project event_type, to_int(event_time) as et, n)")
+
+
+@built("stream_join_null_keys", """WITH s AS (SELECT event_id, epoch_us(ts) // 1000 et, event_type, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END k FROM events)
+SELECT a.event_id x, b.event_id y FROM s a JOIN s b ON a.k IS NOT DISTINCT FROM b.k AND a.event_type = b.event_type AND abs(a.et - b.et) <= 60000""")
+def stream_join_null_keys(spark, sf_dir):
+    engine = Engine(prepare(spark))
+    for name in "lr":
+        engine.bind_topic(name + "t", _event_stream(spark, sf_dir))
+        engine.execute(f'{name} := (bridge from {name}t partitions = 8 props = ()) -> (project to_string(key) as t, if(json_int("k", val) % 3 == 0, json_int("none", val), json_int("k", val)) as k, offset as id) -> (store stream)')
+    engine.execute("j := (join l with r by k = k, t = t within 1m) -> (store stream)")
+    runtime = Runtime(engine, _stream_root(spark))
+    runtime.run("j")
+    return runtime.snapshot().execute("(scan all from j) -> (project l_id as x, r_id as y)")
+
+
+@built("stream_sent_topic", "SELECT event_id \"offset\", event_type k, props v FROM events")
+def stream_sent_topic(spark, sf_dir):
+    """What a topic sends on, caught in a folder in place of a broker."""
+    engine, root = Engine(prepare(spark)), _stream_root(spark)
+    engine.bind_topic("s", _event_stream(spark, sf_dir))
+    engine.execute("s := (topic partitions = 8)")
+    caught = lambda rows, options: rows.write.mode("append").parquet(f"{root}/sent/{options['topic']}")
+    Runtime(engine, root, {"bootstrap.servers": "none"}, caught).run("s")
+    return spark.read.parquet(f"{root}/sent/s").select("offset", F.col("key").cast("string").alias("k"), F.col("val").cast("string").alias("v"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows of events by type, in order."""
     engine = load(spark, sf_dir)
