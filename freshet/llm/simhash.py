@@ -245,19 +245,34 @@ def _in_batches(rows, size=1 << 20):
         yield out
 
 
+def largest_partner(n: int, at: np.ndarray, least: float) -> np.ndarray:
+    """By place in the order, the largest set that can be similar to one of ``n`` shingles with which it shares none of those before.
+
+    Sets of n and m share least / (1 + least) * (n + m) at least, and from place ``at`` on there are n - at.
+    """
+    return np.floor((n - at) * ((1 + least) / least) - n + 1e-6).astype(np.int32)
+
+
 def _prefixes(batches, shingle, common, least):
-    """(key, node, n): of each set as many shingles as a set of similarity ``least`` can't lack all of, rare ones first."""
+    """(key, node, n, most): of each set as many shingles as a set of similarity ``least`` can't lack all of, rare ones first.
+
+    ``most`` is the largest size of a similar set that has this shingle and none of those before it: the two share no more
+    than the shingles from here on, so a text with rare shingles of its own in front finds no partner among its like.
+    """
 
     def each():
         for node, own in _new_sets(batches, shingle):
             n = len(own)
             often = common[np.searchsorted(common, own).clip(max=len(common) - 1)] == own if len(common) else np.zeros(n, dtype=bool)
-            yield node, np.concatenate([own[~often], own[often]])[: n - math.ceil(least * n - 1e-9) + 1], n
+            keys = np.concatenate([own[~often], own[often]])[: n - math.ceil(least * n - 1e-9) + 1]
+            yield node, keys, n, largest_partner(n, np.arange(len(keys)), least)
 
     for held in _in_batches(each()):
-        keys, lengths = np.concatenate([k for _, k, _ in held]), [len(k) for _, k, _ in held]
+        keys, most = (np.concatenate([x[k] for x in held]) for k in (1, 3))
+        lengths = [len(x[1]) for x in held]
         columns = [np.repeat(np.array([x[k] for x in held], dtype=np.int64), lengths) for k in (0, 2)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(columns[0]), pa.array(columns[1].astype(np.int32))], names=["key", "node", "n"])
+        arrays = [pa.array(keys, pa.int64()), pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(most)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "n", "most"])
 
 
 def _whole(batches, shingle, wanted):
@@ -311,16 +326,16 @@ def _alike(batches, least):
 
 
 def _unlinked(batches, least):
-    """Pairs of each bucket, a row being its (node, n, root), that differ in root and whose sizes allow the similarity."""
+    """Pairs of each bucket, a row being its (node, n, most, root), that differ in root and whose sizes and places allow the similarity."""
     for batch in batches:
         for members in batch.column(0):
             v = members.values
-            node, n, root = (v.field(k).to_numpy() for k in ("node", "n", "root"))
+            node, n, most, root = (v.field(k).to_numpy() for k in ("node", "n", "most", "root"))
             order = np.argsort(n, kind="stable")
-            node, n, root = node[order], n[order], root[order]
-            until = np.searchsorted(n, n / least + 1e-9, side="right")
-            for k in range(len(n)):
-                others = k + 1 + np.flatnonzero(root[k + 1 : until[k]] != root[k])
+            node, n, most, root = node[order], n[order], most[order], root[order]
+            until = np.searchsorted(n, np.minimum(n / least + 1e-9, most), side="right")
+            for k in np.flatnonzero(until > np.arange(len(n)) + 1).tolist():
+                others = k + 1 + np.flatnonzero((root[k + 1 : until[k]] != root[k]) & (most[k + 1 : until[k]] >= n[k]))
                 if len(others):
                     a, b = np.minimum(node[k], node[others]), np.maximum(node[k], node[others])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -362,27 +377,32 @@ def similar_sets(texts: DataFrame, marks: DataFrame, shingle: int, least: float
     """(node, root) over the nodes of ``marks`` (hash, fp, node, n, some): classes of the links of Jaccard similarity ``least``.
 
     No link is lost: in any one order, the first shingles of two similar sets (as many as a similar set can't lack all
-    of) meet.  The order puts shingles last that a sample finds often; what it misses costs time only.  Pairs first come
+    of) meet, and the first one that they share bounds by its places what they share at all.  The order puts shingles last
+    that a sample finds often; what it misses costs time only.  Pairs first come
     from the fingerprints and from each bucket's smallest node, so that a large group of near copies is one class
     before the pairs that no link joins yet are looked at.
     """
     held = _Texts(texts, marks, shingle, least)
     sample = marks.where("some IS NOT NULL").dropDuplicates(["node"]).select(F.explode("some").alias("key")).groupBy("key").count().where("count >= 8")
     common = np.sort(sample.orderBy(F.desc("count"), "key").limit(COMMON).select("key").toArrow()["key"].to_numpy())
-    keys = map_rows(texts.select("text", "hash"), lambda b: _prefixes(b, shingle, common, least), "key bigint, node bigint, n int")
-    buckets = keys.repartition("key").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("m")).where(F.size("m") > 1)
+    keys = map_rows(texts.select("text", "hash"), lambda b: _prefixes(b, shingle, common, least), "key bigint, node bigint, n int, most int")
+    members = F.sort_array(F.collect_set(F.struct("node", "n", "most")))
+    smallest = F.array_min(F.transform("m", lambda x: x["n"]))
+    buckets = keys.repartition("key").groupBy("key").agg(members.alias("m")).where(F.size("m") > 1)
+    buckets = buckets.withColumn("least", smallest).select(F.filter("m", lambda x: x["most"] >= F.col("least")).alias("m")).where(F.size("m") > 1)
     buckets = checkpointed(buckets.select("m").distinct().withColumn("bucket", F.monotonically_increasing_id()))
-    each = buckets.select("bucket", F.col("m")[0].alias("low"), F.explode("m").alias("x")).select("bucket", "low", "x.node", "x.n")
+    each = buckets.select("bucket", F.col("m")[0].alias("low"), F.explode("m").alias("x")).select("bucket", "low", "x.node", "x.n", "x.most")
     fits = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
     prints = marks.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("low"), F.collect_set(F.struct("node", "n")).alias("nodes"))
     roots = link_fingerprints(prints.select("fp")).select(F.col("node").alias("fp"), "root")
     classed = prints.join(roots, "fp", "left").select("low", "nodes", F.coalesce("root", "fp").alias("root"))
     lows = classed.groupBy("root").agg(F.min("low").alias("a"))
     by_print = classed.select("root", F.explode("nodes").alias("b")).join(lows, "root").where(fits(F.col("a.n"), F.col("b.n"))).select("a.node", F.col("b.node").alias("b")).toDF("a", "b")
-    stars = each.where(fits(F.col("low.n"), F.col("n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+    reach = (F.col("low.most") >= F.col("n")) & (F.col("most") >= F.col("low.n"))
+    stars = each.where(fits(F.col("low.n"), F.col("n")) & reach).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
     links = held.alike(stars.unionByName(by_print))
     first = connected_components(links).withColumnRenamed("node", "other")
-    named = each.join(first, F.col("node") == F.col("other"), "left").select("bucket", F.struct("node", "n", F.coalesce("root", "node").alias("root")).alias("x"))
+    named = each.join(first, F.col("node") == F.col("other"), "left").select("bucket", F.struct("node", "n", "most", F.coalesce("root", "node").alias("root")).alias("x"))
     open_ = named.groupBy("bucket").agg(F.collect_list("x").alias("m"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("m")
     more = held.alike(map_rows(open_, lambda b: _unlinked(b, least), "a bigint, b bigint"))
     return connected_components(links.unionByName(more))
