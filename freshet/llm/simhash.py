@@ -379,8 +379,9 @@ def similar_sets(texts: DataFrame, marks: DataFrame, shingle: int, least: float
     No link is lost: in any one order, the first shingles of two similar sets (as many as a similar set can't lack all
     of) meet, and the first one that they share bounds by its places what they share at all.  The order puts shingles last
     that a sample finds often; what it misses costs time only.  Pairs first come
-    from the fingerprints and from each bucket's smallest node, so that a large group of near copies is one class
-    before the pairs that no link joins yet are looked at.
+    from the fingerprints and from the node of each bucket that has the fewest rare shingles for its size, which is the one
+    most like a group's common text, so that a large group of near copies is one class before the pairs that no link
+    joins yet are looked at.
     """
     held = _Texts(texts, marks, shingle, least)
     sample = marks.where("some IS NOT NULL").dropDuplicates(["node"]).select(F.explode("some").alias("key")).groupBy("key").count().where("count >= 8")
@@ -391,7 +392,8 @@ def similar_sets(texts: DataFrame, marks: DataFrame, shingle: int, least: float
     buckets = keys.repartition("key").groupBy("key").agg(members.alias("m")).where(F.size("m") > 1)
     buckets = buckets.withColumn("least", smallest).select(F.filter("m", lambda x: x["most"] >= F.col("least")).alias("m")).where(F.size("m") > 1)
     buckets = checkpointed(buckets.select("m").distinct().withColumn("bucket", F.monotonically_increasing_id()))
-    each = buckets.select("bucket", F.col("m")[0].alias("low"), F.explode("m").alias("x")).select("bucket", "low", "x.node", "x.n", "x.most")
+    near = F.array_max(F.transform("m", lambda x: F.struct((x["most"] / x["n"]).alias("r"), F.bitwise_not(x["node"]).alias("k"), x["node"], x["n"], x["most"])))
+    each = buckets.select("bucket", near.alias("low"), F.explode("m").alias("x")).select("bucket", "low", "x.node", "x.n", "x.most")
     fits = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
     prints = marks.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("low"), F.collect_set(F.struct("node", "n")).alias("nodes"))
     roots = link_fingerprints(prints.select("fp")).select(F.col("node").alias("fp"), "root")
