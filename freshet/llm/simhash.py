@@ -178,7 +178,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_print = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = link_fingerprints(by_print.select("fp"), limit, bucket)
     label = by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = label.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    lowest = checkpointed(label.groupBy("root").agg(F.min("first_id").alias("component_id")))  # apart from the join, so that a large class can be split
     named = checkpointed(label.join(lowest, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
