@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -50,11 +51,13 @@ def _local_folder(spark: SparkSession) -> str:
 
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` that gives unused Arrow memory back when a task ends, as workers stay for the stages that follow."""
+    """``mapInArrow`` that gives unused memory back when a task ends, as workers stay for the stages that follow."""
 
     def run(batches):
         yield from rows(batches)
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
 
     return df.mapInArrow(run, schema)
 

@@ -348,7 +348,7 @@ class _Texts:
     """
 
     def __init__(self, texts: DataFrame, marks: DataFrame, shingle: int, least: float):
-        self.texts, self.shingle, self.least = texts, shingle, least
+        self.texts, self.shingle, self.least, self.sent = texts, shingle, least, []
         self.held = checkpointed(marks.groupBy("node").agg(F.min("hash").alias("hash"), F.min("n").alias("n")))
 
     def _of(self, pairs: DataFrame, rows, kind: str) -> DataFrame:
@@ -361,6 +361,7 @@ class _Texts:
         bitmap = np.zeros(BITMAP // 64, dtype=np.uint64)
         bitmap[marked["at"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
         sent, shingle = self.texts.sparkSession.sparkContext.broadcast(bitmap), self.shingle
+        self.sent.append(sent)
         values = map_rows(self.texts.select("text", "hash"), lambda b: rows(b, shingle, sent.value), f"node bigint, value {kind}").dropDuplicates(["node"])
         x, y = (values.select(F.col("node").alias(k), F.col("value").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
@@ -370,7 +371,10 @@ class _Texts:
         least = self.least
         pairs = checkpointed(pairs.where("a <> b").distinct())
         pairs = checkpointed(map_rows(self._of(pairs, _sketches, "struct<n:int,sketch:binary>"), lambda b: _possible(b, least), "a bigint, b bigint"))
-        return checkpointed(map_rows(self._of(pairs, _whole, "array<bigint>"), lambda b: _alike(b, least), "a bigint, b bigint"))
+        found = checkpointed(map_rows(self._of(pairs, _whole, "array<bigint>"), lambda b: _alike(b, least), "a bigint, b bigint"))
+        while self.sent:
+            self.sent.pop().unpersist()
+        return found
 
 
 def similar_sets(texts: DataFrame, marks: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
