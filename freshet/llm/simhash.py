@@ -110,14 +110,23 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _links(batches, limit):
-    """Spanning links of each bucket: a row is the array of fingerprints that share a key."""
+def _pieces(batches, most):
+    """The lists of each batch as (values, ends) with about ``most`` values at a time, however many a batch holds; no list is cut."""
     for batch in batches:
         column = batch.column(0)
-        ends = column.offsets.to_numpy()[1:]
-        start = column.offsets.to_numpy()[0]
-        values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)[start:]
-        until = np.repeat(ends - start, np.diff(np.concatenate([[start], ends])))
+        offsets = column.offsets.to_numpy()
+        values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        at = 0
+        while at < len(offsets) - 1:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield values[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
+            at = to
+
+
+def _links(batches, limit):
+    """Spanning links of each bucket: a row is the array of fingerprints that share a key."""
+    for values, ends in _pieces(batches, _STEP):
+        until = np.repeat(ends, np.diff(ends, prepend=0))
         table = np.bitwise_count(values[:, None] ^ PIVOTS[None, :]).astype(np.int16)
         parent: dict[int, int] = {}
 
@@ -128,13 +137,12 @@ def _links(batches, limit):
 
         at, lag = np.arange(len(values)), 1
         while len(at := at[at + lag < until[at]]):
-            for part in np.array_split(at, max(1, len(at) // _STEP)):
-                kept = part[np.abs(table[part] - table[part + lag]).max(axis=1) <= limit]
-                kept = kept[np.bitwise_count(values[kept] ^ values[kept + lag]) <= limit]
-                for x, y in zip(values[kept].tolist(), values[kept + lag].tolist(), strict=True):
-                    a, b = find(x), find(y)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
+            kept = at[np.abs(table[at] - table[at + lag]).max(axis=1) <= limit]
+            kept = kept[np.bitwise_count(values[kept] ^ values[kept + lag]) <= limit]
+            for x, y in zip(values[kept].tolist(), values[kept + lag].tolist(), strict=True):
+                a, b = find(x), find(y)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
             lag += 1
         pairs = [(x, find(x)) for x in parent]
         pairs = np.array([p for p in pairs if p[0] != p[1]], dtype=np.uint64).reshape(-1, 2).view(np.int64)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 from fixtures import messy_documents, prose, SCHEMAS
@@ -114,3 +115,14 @@ def test_every_edited_copy_of_similarity_goes_and_no_other(spark):
     assert sum(f > 4 for f in far) > 20 and len(set(low)) > 80
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(low))
+
+
+def test_lists_are_compared_a_few_at_a_time():
+    pick = random.Random(3)
+    lists = [[pick.getrandbits(63) for _ in range(pick.choice([0, 1, 2, 7, 40]))] for _ in range(60)]
+    column = pa.array(lists, pa.list_(pa.int64()))
+    batches = [pa.RecordBatch.from_arrays([c], names=["fps"]) for c in (column.slice(0, 25), column.slice(25, 0), column.slice(25))]
+    for most in (1, 10, 100, 1 << 16):
+        pieces = list(simhash._pieces(batches, most))
+        assert [v[a:b].tolist() for v, ends in pieces for a, b in zip([0, *ends[:-1]], ends, strict=True)] == lists
+        assert all(len(v) <= most or len(ends) == 1 for v, ends in pieces)
