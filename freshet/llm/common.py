@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but the space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Largest table that is sent to every executor.
+BROADCAST_BYTES = 48 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -62,6 +64,11 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def fits_broadcast(df: DataFrame, width, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows, of ``width`` bytes each (a Column), come to ``most`` bytes at most; they are counted."""
+    return (df.agg(F.sum(width)).first()[0] or 0) <= most
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
     """``df`` with columns c0, c1, ..., these names by the old ones, and the way back; nothing can clash in between."""
     at = {name: f"c{k}" for k, name in enumerate(df.columns)}

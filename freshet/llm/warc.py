@@ -21,19 +21,21 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, map_rows
+from .common import binary_values, checkpointed, fits_broadcast, map_rows
 
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 MIN_REVISIT = 1000
-#: Above so many distinct repeated payloads the table of them is joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: An archive is written in blocks of whole records of about so many bytes (one larger record is a block), and holds so many blocks at most.
+BLOCK, BLOCKS = 8 << 20, 8
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
@@ -130,9 +132,21 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield fields, block
 
 
-def _members(batches, version):
-    """(archive bytes) rows: pages as an ARC file, that file converted record by record."""
+def _cut(batches, most):
+    """Parts of the batches with about ``most`` bytes of payload, which is their third column."""
     for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _members(batches, version):
+    """(archive bytes) rows, of many records each: pages as an ARC file, that file converted record by record."""
+    out, held = [], 0
+    for batch in _cut(batches, BLOCK):
         ids, urls, firsts, first_urls = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
         pages = []
         for url, payload in zip(urls, binary_values(batch.column(2)), strict=True):
@@ -140,24 +154,29 @@ def _members(batches, version):
             pages.append((url, "20200101000000", "text/html", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload))
         converted = parse_arc(arc_file(pages, version))
         next(converted)
-        out = []
         for page, first, first_url, (fields, body) in zip(ids, firsts, first_urls, converted, strict=True):
             refers = None
             if first is not None and first != page:
                 date = iso_date(fields["archive-date"])
                 refers = record_id(address(first_url), date, _digest(split_http(body)[1]), str(first))
             extra = {} if page is None else {"Page-ID": str(page)}
-            out.append(gzip.compress(warc_record(fields, body, str(page), refers, extra), 1, mtime=0))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-
-def write_archives(pages: DataFrame, path: str, version: int = 1, records_per_file: int = 50_000) -> None:
-    """Write (id, url, payload, first, first_url) rows to ``part-*.warc.gz`` files under ``path``."""
+            member = gzip.compress(warc_record(fields, body, str(page), refers, extra), 1, mtime=0)
+            if out and held + len(member) > BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["value"])
+                out, held = [], 0
+            out.append(member)
+            held += len(member)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["value"])
+
+
+def write_archives(pages: DataFrame, path: str, version: int = 1) -> None:
+    """Write (id, url, payload, first, first_url) rows to ``part-*.warc.gz`` files of bounded size under ``path``."""
     spark = pages.sparkSession
     members = map_rows(pages.select("id", "url", "payload", "first", "first_url"), lambda b: _members(b, version), "value binary")
     # The text sink writes a value's bytes as they are, and its separator is the empty gzip member.
     (members.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
-        .option("maxRecordsPerFile", records_per_file).text(path))
+        .option("maxRecordsPerFile", BLOCKS).text(path))
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -203,7 +222,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     first = F.max_by(F.struct("id", "url"), "id").alias("f")
     repeated = plain.where(F.octet_length("payload") >= min_revisit).groupBy("sha").agg(first, F.count("*").alias("n")).where("n > 1 AND f.id IS NOT NULL")
     repeated = checkpointed(repeated.select("sha", F.col("f.id").alias("first"), F.col("f.url").alias("first_url")))
-    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits_broadcast(repeated, 128 + F.coalesce(F.octet_length("first_url"), F.lit(0)))
     marked = plain.join(F.broadcast(repeated) if few else repeated, "sha", "left")
     folder = path or f"{_shared(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(marked, folder, version)

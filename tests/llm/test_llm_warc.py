@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pyarrow as pa
 import pytest
 from fixtures import messy_tables, prose, SCHEMAS
 
@@ -59,3 +60,17 @@ def test_pages_against_brute_force(spark, tmp_path):
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
         files = list((tmp_path / f"v{version}").glob("part-*.warc.gz"))
         assert sum(1 for f in files for _ in warc.parse_warc(f.read_bytes())) == len(rows)
+
+
+@pytest.mark.parametrize("block", [1, 2_000, 8 << 20])
+def test_blocks_are_bounded_by_bytes(monkeypatch, block):
+    monkeypatch.setattr(warc, "BLOCK", block)
+    payloads = [prose(k, 300).encode() for k in range(20)] + [None, b"", b"x" * 100_000]
+    columns = [list(range(23)), [f"u{k}" for k in range(23)], payloads, [None] * 23, [None] * 23]
+    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list("abcde"))
+    rows = [r for b in warc._members([batch.slice(0, 9), batch.slice(9, 0), batch.slice(9)], 1) for r in b.column(0).to_pylist()]
+    found = [[(f["page-id"], warc.split_http(x)[1]) for f, x in warc.parse_warc(r)] for r in rows]
+    assert [x for row in found for x in row] == [(str(k), p or b"") for k, p in enumerate(payloads)]
+    assert all(len(r) <= block or len(row) == 1 for r, row in zip(rows, found, strict=True))
+    assert len(rows) == {1: 23, 8 << 20: 1}.get(block, len(rows)) and (block != 2_000 or 1 < len(rows) < 23)
