@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, numbered
+from .common import BROADCAST_BYTES, checkpointed, fits_broadcast, numbered
 
-SHINGLE, THRESHOLD, BROADCAST_BYTES = 5, 0.8, 48 << 20
+SHINGLE, THRESHOLD = 5, 0.8
 
 
 def _words(col):
@@ -52,7 +52,7 @@ def _share(threshold: float) -> tuple[int, int]:
 def _small(df: DataFrame) -> bool:
     """Whether a table is small enough to broadcast: its longs, and its keys as texts."""
     wide = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema), F.lit(16))
-    return (df.agg(F.sum(wide)).first()[0] or 0) <= BROADCAST_BYTES
+    return fits_broadcast(df, wide, BROADCAST_BYTES)
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

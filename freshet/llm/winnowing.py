@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, map_rows, numbered
+from .common import binary_values, checkpointed, fits_broadcast, map_rows, numbered
 
-WORDS, GRAM, BROADCAST_ROWS = 50, 25, 100_000
+WORDS, GRAM = 50, 25
 
 
 def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
@@ -154,7 +154,7 @@ def _deleted(batches):
 def _dedup(docs: DataFrame, id_col: str, text_col: str):
     """Numbered columns with repeated runs deleted from the text, beside ``lines``, ``words`` and ``left``, and the way back."""
     runs = checkpointed(repeated_runs(docs, id_col, text_col).select("id", "hash", "runs"))
-    few = runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits_broadcast(runs, 64 + F.coalesce(F.octet_length(runs["id"].cast("string")), F.lit(0)) + 40 * F.size("runs"))
     work, at, restored = numbered(docs)
     same = work[at[id_col]].eqNullSafe(runs["id"]) & (F.xxhash64(work[at[text_col]]) == runs["hash"])
     others = [f for f in work.schema if f.name != at[text_col]]
