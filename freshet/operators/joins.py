@@ -79,7 +79,8 @@ def _by_time(l_side: DataFrame, r_side: DataFrame, within: int, how: str):
     """Both sides with a ``__slot`` of time that rows within reach of each other share.
 
     The side that an outer join pads has one slot a row, the other is repeated in each of the one or two that it reaches, so
-    a pair still meets once.  A key with a long history is then compared slot by slot and not as a whole.
+    a pair still meets once.  A key with a long history is then compared slot by slot and not as a whole; of a streaming
+    join the state is kept by slot too, and its watermark goes by the event times as before.
     """
     width = 4 * within + 4
     slot = lambda side, shift: F.floor((to_millis(F.col(f"{side}_event_time")) + shift) / F.lit(width))
@@ -101,11 +102,8 @@ def stream_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     near = (F.col("r_event_time") >= F.col("l_event_time") - span) & (F.col("r_event_time") <= F.col("l_event_time") + span)
     same = _equal(keys, len(keys) > 1) if len(keys) == 1 or not streaming else _equal_or_null(keys, l_side)
     on, dropped = same & near, {f"r_{b}" for _, b in keys}
-    if streaming:
-        joined = l_side.join(r_side, on, how)
-    else:
-        l_slots, r_slots = _by_time(l_side, r_side, within, how)
-        joined = l_slots.join(r_slots, on & (l_slots["__slot"] == r_slots["__slot"]), how)
+    l_slots, r_slots = _by_time(l_side, r_side, within, how)
+    joined = l_slots.join(r_slots, on & (l_slots["__slot"] == r_slots["__slot"]), how)
     right_cols = [c for c in r_side.columns if c not in dropped]
     return _output(joined, F.greatest("l_event_time", "r_event_time"), l_side.columns, right_cols)
 

@@ -244,3 +244,27 @@ def test_a_run_that_died_goes_on_where_it_was(spark, tmp_path):
         KeyedTable.upsert = upsert
     runtime.run("s")
     assert calls == [0, 1] and rows_of(runtime.read("s"), "k", "s") == [("a", 3)]
+
+
+@pytest.mark.parametrize("how", ["=", "*=", "=*"])
+def test_joins_of_streams_read_a_hot_keys_neighbours_in_time_only(spark, tmp_path, how):
+    # a null key with a long history, in two batches; a last one moves the watermark past all of them
+    times = {"l": range(1000, 601_000, 1000), "r": range(1500, 601_500, 1500)}
+    for folder, all_times in times.items():
+        for n in range(2):
+            put(spark, tmp_path / folder, n, [(t, "x", "{}") for t in all_times if (t > 300_000) == n])
+        put(spark, tmp_path / folder, 2, [(900_000 if folder == "l" else 950_000, "z", "{}")])
+    e = Engine(spark)
+    for folder in "lr":
+        e.bind_topic(folder + "t", topics.file_topic(spark, str(tmp_path / folder)))
+        e.execute(f'{folder} := (bridge from {folder}t partitions=1) -> (project to_string(key) as k, json_int("none", val) as n, event_time as t) -> (store stream)')
+    e.execute(f"j := (join l with r by k {how} k, n {how} n within 250ms) -> (store stream)")
+    runtime = Runtime(e, str(tmp_path / "out"))
+    query = runtime.start("j")
+    query.awaitTermination()
+    pairs = [(a, b) for a in times["l"] for b in times["r"] if abs(a - b) <= 250]
+    alone = {"=": [], "*=": [(a, None) for a in times["l"] if a not in dict(pairs)], "=*": [(None, b) for b in times["r"] if b not in [p[1] for p in pairs]]}[how]
+    got = rows_of(runtime.read("j"), "l_t", "r_t")
+    assert got == sorted(pairs + alone, key=repr)
+    reads = sum(o.customMetrics["rocksdbGetCount"] for p in query.recentProgress for o in p.stateOperators)
+    assert reads < 30 * sum(map(len, times.values()))
