@@ -7,6 +7,7 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Largest table that is sent to every executor.
 BROADCAST_BYTES = 48 << 20
+#: Most edges whose components the driver finds: 16 bytes each.
+DRIVER_EDGES = 1 << 19
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -82,12 +85,27 @@ def binary_values(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of ``edges``; root is the smallest node that can be reached.
+def smallest_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v), and by node the smallest that can be reached."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(low, np.maximum(low[u], low[v]), np.minimum(low[u], low[v]))
+        while (low != (to := low[low])).any():
+            low = to
+        apart = low[u] != low[v]
+        u, v = u[apart], v[apart]
+    return nodes, nodes[low]
 
-    Alternating large-star and small-star rounds: each is two shuffles of the edge list, each node is sent
-    only its own minimum, and the number of rounds grows with the logarithm of the longest path.  A hub's
-    edges meet one row of the minimum table, which is a join that adaptive execution may split.
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = DRIVER_EDGES) -> DataFrame:
+    """(node, root) for every node of ``edges`` but the roots; root is the smallest node that can be reached.
+
+    Up to ``most`` edges, which are counted, go to the driver: rounds over a small table cost many tasks, with files and
+    log entries of each, for next to no rows.  More edges take alternating large-star and small-star rounds: each is two
+    shuffles of the edge list, each node is sent only its own minimum, and the number of rounds grows with the logarithm of
+    the longest path.  A hub's edges meet one row of the minimum table, which is a join that adaptive execution may split.
     """
     edge = (
         edges.where(F.col(a) != F.col(b))
@@ -95,6 +113,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     edge = checkpointed(edge)
+    if dict(edge.dtypes) == {"u": "bigint", "v": "bigint"} and edge.count() <= most:
+        found = edge.toArrow()
+        node, root = smallest_reached(found["u"].to_numpy(), found["v"].to_numpy())
+        others = node != root
+        return edges.sparkSession.createDataFrame(pa.table({"node": node[others], "root": root[others]}))
     state = None
     while True:
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))

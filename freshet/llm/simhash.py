@@ -224,14 +224,37 @@ def _marks(batches, shingle):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=["id", "hash", "fp", "node", "n", "some"])
 
 
+def _bitmap(at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """(places, words) of a bitmap whose words ``bits`` at ``at`` aren't zero: these alone, in order, or all if that is less."""
+    if 2 * len(at) < BITMAP // 64:
+        order = np.argsort(at)
+        return at[order], bits[order]
+    words = np.zeros(BITMAP // 64, dtype=np.uint64)
+    words[at] = bits
+    return None, words
+
+
+def _marked(hashes: np.ndarray, at: np.ndarray | None, words: np.ndarray) -> np.ndarray:
+    """By hash, 1 if the bitmap has it and else 0."""
+    place = hashes.view(np.uint64) % np.uint64(BITMAP)
+    word = (place >> np.uint64(6)).astype(np.int64)
+    if at is None:
+        own = words[word]
+    elif len(at):
+        near = np.searchsorted(at, word).clip(max=len(at) - 1)
+        own = np.where(at[near] == word, words[near], np.uint64(0))
+    else:
+        own = np.zeros(len(place), dtype=np.uint64)
+    return own >> (place & np.uint64(63)) & np.uint64(1)
+
+
 def _new_sets(batches, shingle, wanted=None):
-    """(node, set) of the texts, each set once a task; ``wanted`` is a bitmap of text hashes to look at."""
+    """(node, set) of the texts, each set once a task; ``wanted`` has the text hashes to look at, see ``_marked``."""
     seen: set[int] = set()
     for batch in batches:
         at = np.arange(batch.num_rows)
         if wanted is not None:
-            place = batch.column(1).to_numpy().view(np.uint64) % np.uint64(64 * len(wanted))
-            at = np.flatnonzero(wanted[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+            at = np.flatnonzero(_marked(batch.column(1).to_numpy(), *wanted))
         for text in binary_values(batch.column(0).take(pa.array(at))):
             own = _set_of(text, shingle)
             node = _node(own)
@@ -360,14 +383,13 @@ class _Texts:
         self.held = checkpointed(marks.groupBy("node").agg(F.min("hash").alias("hash"), F.min("n").alias("n")))
 
     def _of(self, pairs: DataFrame, rows, kind: str) -> DataFrame:
-        """``pairs`` with what ``rows`` makes of the sets of both.  Texts to look at are marked in a bitmap of fixed size: it
-        lets others pass as well when there are very many, which costs time only."""
+        """``pairs`` with what ``rows`` makes of the sets of both.  Texts to look at are marked in a bitmap of fixed size, sent
+        without its empty words while they are most: it lets others pass as well when there are very many, which costs time only."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         place = F.pmod(F.shiftright("hash", 6), F.lit(BITMAP // 64))
         bit = F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")
         marked = self.held.join(nodes, "node", "left_semi").groupBy(place.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        bitmap = np.zeros(BITMAP // 64, dtype=np.uint64)
-        bitmap[marked["at"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+        bitmap = _bitmap(marked["at"].to_numpy(), marked["bits"].to_numpy().view(np.uint64))
         sent, shingle = self.texts.sparkSession.sparkContext.broadcast(bitmap), self.shingle
         self.sent.append(sent)
         values = map_rows(self.texts.select("text", "hash"), lambda b: rows(b, shingle, sent.value), f"node bigint, value {kind}").dropDuplicates(["node"])
@@ -381,7 +403,7 @@ class _Texts:
         pairs = checkpointed(map_rows(self._of(pairs, _sketches, "struct<n:int,sketch:binary>"), lambda b: _possible(b, least), "a bigint, b bigint"))
         found = checkpointed(map_rows(self._of(pairs, _whole, "array<bigint>"), lambda b: _alike(b, least), "a bigint, b bigint"))
         while self.sent:
-            self.sent.pop().unpersist()
+            self.sent.pop().destroy()  # also the driver's file
         return found
 
 

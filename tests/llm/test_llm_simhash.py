@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from fixtures import messy_documents, prose, SCHEMAS
 
 from freshet.llm import simhash
+from freshet.llm.common import connected_components
 
 
 def naive_fingerprint(text, shingle=4):
@@ -126,3 +128,40 @@ def test_lists_are_compared_a_few_at_a_time():
         pieces = list(simhash._pieces(batches, most))
         assert [v[a:b].tolist() for v, ends in pieces for a, b in zip([0, *ends[:-1]], ends, strict=True)] == lists
         assert all(len(v) <= most or len(ends) == 1 for v, ends in pieces)
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_components_of_few_edges_take_few_jobs(spark, most):
+    """A long path, stars and loose pairs; without edges for the driver the rounds give the same, in many jobs, tasks and files."""
+    pick = random.Random(8)
+    names = [pick.getrandbits(63) - (1 << 62) for _ in range(400)]
+    edges = [(names[k], names[k + 1]) for k in range(199)] + [(names[k], names[200 + k % 3]) for k in range(203, 350)] + [(names[k], names[k + 1]) for k in range(350, 400, 2)] + [(names[0], names[0])]
+    want = {}
+    for group in [names[:200], *[[names[200 + k], *names[203 + (k + 1) % 3 : 350 : 3]] for k in range(3)], *[names[k : k + 2] for k in range(350, 400, 2)]]:
+        want |= {x: min(group) for x in group if x != min(group)}
+    spark.sparkContext.setJobGroup(f"components-{most}", "")
+    try:
+        found = connected_components(spark.createDataFrame(edges, "a long, b long"), **({} if most is None else {"most": most})).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["node"]: r["root"] for r in found} == want and len(found) == len(want)
+    assert most == 0 or jobs <= 8
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_marks_are_sent_small():
+    pick = np.random.default_rng(4)
+    hashes = pick.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    place = hashes.view(np.uint64) % np.uint64(simhash.BITMAP)
+    for n in (0, 1, 1000):
+        dense = np.zeros(simhash.BITMAP // 64, dtype=np.uint64)
+        np.bitwise_or.at(dense, (place[:n] >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place[:n] & np.uint64(63)))
+        at = pick.permutation(np.flatnonzero(dense))
+        few = simhash._bitmap(at, dense[at])
+        assert sum(x.nbytes for x in few) == 16 * len(at)
+        assert simhash._marked(hashes, *few).tolist() == simhash._marked(hashes, None, dense).tolist()
+        assert simhash._marked(hashes, *few)[:n].all() and simhash._marked(hashes, *few).sum() < n + 100
+    every = np.arange(simhash.BITMAP // 64)
+    none, words = simhash._bitmap(every, every.astype(np.uint64))
+    assert none is None and (words == every).all()
